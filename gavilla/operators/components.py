@@ -47,8 +47,7 @@ def connected_components(edges: DataFrame, floor: int = HOT_FLOOR, max_rounds: i
         total = current.count()
         wide = materialise(_large_star(current, total, floor), "large")
         narrow = materialise(_small_star(wide, wide.count(), floor), "small")
-        release(current)
-        release(wide)
+        release(current, wide)
         current = narrow
         if _is_star(current):
             roots = current.select(F.col("v").alias("id")).distinct()

@@ -34,6 +34,15 @@ def number_rows(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
     )
 
 
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """Rebalance before work that is heavy per row, if the input has fewer files than the cluster has cores.
+
+    A large input already comes in many splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if len(df.inputFiles()) < cores else df
+
+
 def attach(
     members: DataFrame,
     groups: DataFrame,

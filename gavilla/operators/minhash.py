@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gavilla.functions import text as T
-from gavilla.operators.keys import HOT_FLOOR, attach
+from gavilla.operators.keys import HOT_FLOOR, attach, spread
 from gavilla.session import materialise
 
 # Elements of one (permutation, gram) block held while a signature is computed.
@@ -50,12 +50,13 @@ def _signature_udf(num_perm: int, seed: int):
 
 
 def signatures(df: DataFrame, num_perm: int = 128, n_min: int = 3, n_max: int = 5, seed: int = 1) -> DataFrame:
-    """(id, sig) from (id, comentario_clean); one narrow pass, nothing is shuffled.
+    """(id, sig) from (id, comentario_clean); one narrow pass over the texts.
 
     Grams and their hashes are built-in expressions; only the permute-and-minimum step runs on Arrow
     batches, as exploding the grams would move a signature-wide aggregate through a shuffle.
     """
     hashes = F.transform(T.gram_set(F.col("comentario_clean"), n_min, n_max), T.gram_hash)
+    df = spread(df.select("id", "comentario_clean"))
     return df.select("id", _signature_udf(num_perm, seed)(hashes).alias("sig"))
 
 

@@ -50,16 +50,14 @@ def materialise(df: DataFrame, tag: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/gavilla/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
 
 
-def release(df: DataFrame | None) -> None:
-    """Delete a table written by ``materialise`` once a later table has replaced it."""
-    if df is None:
-        return
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/gavilla/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete tables written by ``materialise`` once a later table has replaced them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
