@@ -139,12 +139,11 @@ def _lightest(edges: DataFrame, groups: DataFrame) -> DataFrame:
 def _search_out(points: DataFrame, groups: DataFrame, doubt: DataFrame, pivots) -> DataFrame:
     """(grp, weight, a, b): lightest edges out of the groups of the doubtful points, within their bounds.
 
-    Groups without a bound first take the lightest edge to one point of each cell, which is an edge of
-    the graph and so a bound.
+    The nearest cells come first; what they give bounds the visit to the others.
     """
     members = points.join(groups.select("id", "core", "grp"), "id").select("id", "vec", "grp", "core")
     cells = N.build_cells(members, pivots, single=False)
-    asked = materialise(points.join(doubt, "id").select("id", "vec", "grp", "core", "bound"), "asked")
+    asked = points.join(doubt, "id").select("id", "vec", "grp", "core", "bound")
     near = _as_edges(N.search(asked, cells, 1, "reach", 2, False, per_group=True))
     near = materialise(near, "near")
     bounds = near.select("grp", F.col("weight").alias("limit"))

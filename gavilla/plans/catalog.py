@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gavilla.functions import text as T, vectors as V
-from gavilla.operators import components as C, keys as K, minhash as M, prepare as P, summary as S
-from gavilla.session import materialise
+from gavilla.operators import components as C, density as D, encode as E, hierarchy as H, keys as K, minhash as M
+from gavilla.operators import neighbours as N, prepare as P, summary as S, tfidf as TF
+from gavilla.plans import pipelines as R
+from gavilla.session import materialise, scratch_root
+from gavilla.sources import files as FI
+from gavilla.sources.stages import saved_cells, stage
 
 # Bands and rows that separate the long documents; conversations use the threshold's own choice.
 DOC_BANDS, DOC_ROWS = 16, 8
@@ -250,12 +256,193 @@ def centroids(spark, sf):
     )
 
 
+def labelled_vectors(spark, sf) -> DataFrame:
+    """Vectors with ten dense regions: unit(one_hot(label) + 0.3 * embedding)."""
+    rows = table(spark, sf, "embeddings")
+    shifted = F.transform(
+        "embedding", lambda x, i: F.lit(0.3) * x.cast("double") + F.when(i == F.col("label"), F.lit(1.0)).otherwise(F.lit(0.0))
+    )
+    return rows.select(F.col("vec_id").alias("id"), V.unit(shifted).alias("vec"))
+
+
+def cosine_topk(spark, sf):
+    return N.cosine_topk(vectors(spark, sf), 30).select("id", "rank", "nbr_id", F.round("sim", 6).alias("sim"))
+
+
+def ivf_recall(spark, sf):
+    truth = materialise(N.cosine_topk(vectors(spark, sf), 30), "truth")
+    return N.recall(N.ivf_topk(vectors(spark, sf), 30, nprobe=16), truth)
+
+
+def ivf_topk(spark, sf):
+    """Every cell probed, which is the exact answer."""
+    found = N.ivf_topk(vectors(spark, sf), 30, nprobe=N.MAX_CELLS)
+    return found.select("id", "rank", "nbr_id", F.round("sim", 6).alias("sim"))
+
+
+def saved_index_topk(spark, sf):
+    """Cells written, loaded again and probed in full."""
+    points = vectors(spark, sf)
+    folder = f"{scratch_root(spark)}/gavilla/index-{uuid.uuid4().hex}"
+    saved_cells(points, folder, 16)
+    found = N.ivf_search(points, saved_cells(points, folder, 16), 30, 16)
+    return found.select("id", F.col("rank").cast("int").alias("rank"), "nbr_id", F.round(-F.col("cost"), 6).alias("sim"))
+
+
+def hyperplane_recall(spark, sf):
+    truth = materialise(N.cosine_topk(vectors(spark, sf), 30), "truth")
+    return N.recall(N.hyperplane_topk(vectors(spark, sf), 30, bits=4), truth)
+
+
+def knn_and_core(spark, sf):
+    knn = materialise(D.vector_knn(materialise(vectors(spark, sf), "points"), 10), "knn")
+    return knn, D.core_distances(knn)
+
+
+def core_distance(spark, sf):
+    _, core = knn_and_core(spark, sf)
+    return core.select("id", F.round("core", 6).alias("core"))
+
+
+def mutual_reachability(spark, sf):
+    knn, core = knn_and_core(spark, sf)
+    return D.mutual_reachability(knn, core).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+def spanning_tree(spark, sf):
+    leaves, tree, copies = D.density_graph(labelled_vectors(spark, sf), 10)
+    return D.full_tree(leaves, tree, copies)
+
+
+def single_linkage(spark, sf):
+    leaves, tree, _ = D.density_graph(labelled_vectors(spark, sf), 10)
+    return D.single_linkage(tree, leaves.select("id", "copies"))
+
+
+def condensed_clusters(spark, sf):
+    leaves, tree, _ = D.density_graph(labelled_vectors(spark, sf), 10)
+    clusters, _ = D.condensed_tree(D.single_linkage(tree, leaves.select("id", "copies")), leaves)
+    return clusters.join(D.choose_clusters(clusters), "cluster")
+
+
+def density_clusters(spark, sf):
+    return D.density_clusters(labelled_vectors(spark, sf), k=10)
+
+
+def ward_tree(spark, sf):
+    """Ward tree over the means of the labels."""
+    centres = materialise(S.centroids(labelled_vectors(spark, sf), vector_labels(spark, sf)), "centres")
+    return H.tree_document(H.ward_linkage(centres), centres)[0]
+
+
+def turn_heads(spark, sf) -> DataFrame:
+    """Representatives of the short-text clusters."""
+    sigs = materialise(M.signatures(short_texts(spark, sf), NUM_PERM), "signatures")
+    edges = M.star_edges(M.buckets(sigs, SHORT_BANDS, SHORT_ROWS))
+    labels = materialise(C.label_components(sigs, C.connected_components(edges)), "labels")
+    return materialise(S.representatives(sigs, labels), "heads")
+
+
+def representative_distances(spark, sf):
+    found = H.representative_distances(turn_heads(spark, sf))
+    return found.select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+def average_tree(spark, sf):
+    heads = turn_heads(spark, sf)
+    return H.tree_document(H.average_linkage(H.representative_distances(heads)), heads)[0]
+
+
+def tree_json(spark, sf):
+    """Lines of the nested document."""
+    heads = turn_heads(spark, sf)
+    return H.tree_document(H.average_linkage(H.representative_distances(heads)), heads)[1]
+
+
+# -- terms and encoders --------------------------------------------------------------------------
+
+
+def term_counts(spark, sf):
+    return TF.term_counts(short_texts(spark, sf))
+
+
+def vocabulary(spark, sf):
+    return TF.vocabulary(materialise(TF.term_counts(cleaned(spark, sf)), "counts"), 5000)
+
+
+def tfidf_weights(spark, sf):
+    rows, terms = TF.tfidf_rows(short_texts(spark, sf))
+    return TF.tfidf_cells(rows, terms).select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+def svd_vectors(spark, sf):
+    found = TF.tfidf_vectors(short_texts(spark, sf))
+    return found.select("id", joined(F.transform("vec", lambda x: x.cast("string"))).alias("vec"))
+
+
+def letter_encoder():
+    """A stand-in model: counts of the letters a to z in whole texts."""
+    import numpy as np
+
+    letters = [chr(97 + i) for i in range(26)]
+    return lambda texts: np.array([[str(text).count(letter) for letter in letters] for text in texts])
+
+
+def encoded_vectors(spark, sf):
+    found = E.encode(cleaned(spark, sf), letter_encoder)
+    return found.select("id", F.posexplode("vec").alias("pos", "x")).select("id", "pos", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+# -- files, stages and whole runs ----------------------------------------------------------------
+
+
+def csv_scan(spark, sf):
+    """Documents written as CSV and read back by header name."""
+    folder = f"{scratch_root(spark)}/gavilla/csv-{uuid.uuid4().hex}"
+    source = documents(spark, sf).select("id", "comentario", F.lit("x").alias("other"))
+    source.write.options(header=True, quote='"', escape='"', quoteAll=True).csv(folder)
+    return FI.read_csv_texts(spark, folder).select("comentario")
+
+
+def assignment_file(spark, sf):
+    """Assignments written as JSON lines and read back."""
+    folder = f"{scratch_root(spark)}/gavilla/json-{uuid.uuid4().hex}"
+    FI.write_assignments(assignments(spark, sf), folder)
+    return spark.read.schema("id bigint, comentario string, cluster int").json(folder)
+
+
+def saved_stage(spark, sf):
+    """Cleaned texts made once and then taken from the saved stage."""
+    folder = f"{scratch_root(spark)}/gavilla/stage-{uuid.uuid4().hex}"
+    source = documents(spark, sf)
+    make = lambda: P.clean_texts(source).select("id", "comentario_clean")
+    stage(spark, folder, {"step": "clean"}, source, make)
+    return stage(spark, folder, {"step": "clean"}, source, make)
+
+
+def literal_run(spark, sf):
+    """The whole literal method at its defaults; its clusters."""
+    texts = materialise(short_texts(spark, sf), "texts")
+    found = R.run_jaccard(texts).aggregates
+    return found.select("cluster", "size", F.array_join("sample_comments", " | ").alias("samples"))
+
+
+def semantic_run(spark, sf):
+    """The whole semantic method on the user turns; its clusters."""
+    texts = materialise(short_texts(spark, sf), "texts")
+    found = R.run_coseno(texts, R.Config(min_cluster_size=5)).aggregates
+    return found.select("cluster", "size", F.array_join("sample_comments", " | ").alias("samples"))
+
+
 QUERIES = [
     clean_text, valid_filter, load_metrics, dense_id, load_and_clean, char_ngrams, ngram_counts, short_text_grams,
     gram_hash, minhash_signature, lsh_buckets, lsh_star_edges, lsh_collisions, lsh_query, jaccard_estimate,
     components, component_labels, short_text_labels, assignments, cluster_sizes, cluster_samples,
     cluster_aggregates, top_clusters, distinct_labels, clustered_texts, representatives, run_metrics,
-    l2_normalise, precision_cast, centroids,
+    l2_normalise, precision_cast, centroids, cosine_topk, ivf_topk, ivf_recall, saved_index_topk,
+    hyperplane_recall, core_distance, mutual_reachability, spanning_tree, single_linkage, condensed_clusters,
+    density_clusters, ward_tree, representative_distances, average_tree, tree_json, term_counts, vocabulary,
+    tfidf_weights, svd_vectors, encoded_vectors, csv_scan, assignment_file, saved_stage, literal_run, semantic_run,
 ]
 
 

@@ -73,6 +73,27 @@ SAMPLED = """assigned AS (SELECT id, comentario, cluster FROM {0} JOIN labels US
     WHERE rank <= 10 GROUP BY cluster)"""
 DOC_ENTRIES = f"WITH {DOCS}, {signatures('docs')}, {entries(DOC_BANDS, DOC_ROWS)}"
 
+SIMS = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+  sims AS (SELECT a.id, b.id AS nbr_id, list_dot_product(a.vec, b.vec) AS sim, list_distance(a.vec, b.vec) AS dist
+    FROM v a JOIN v b ON a.id <> b.id)"""
+TOPK = f"""WITH {SIMS}, ranked AS (SELECT id, nbr_id, sim, row_number() OVER (PARTITION BY id ORDER BY sim DESC, nbr_id) AS rank FROM sims)
+  SELECT id, CAST(rank AS INTEGER) AS rank, nbr_id, round(sim, 6) AS sim FROM ranked WHERE rank <= 30"""
+CORE = f"""{SIMS}, knn AS (SELECT * FROM (SELECT id, nbr_id, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nbr_id) AS rank FROM sims)
+    WHERE rank <= 10), core AS (SELECT id, max(dist) AS core FROM knn WHERE rank <= 5 GROUP BY id)"""
+
+
+def term_counts(source: str) -> str:
+    """counts (id, term, tf) of word-bounded grams of ``source`` (id, c)."""
+    parts = " UNION ALL ".join(
+        f"SELECT id, substr(word, CAST(unnest(range(1, length(word) - {n} + 2)) AS INTEGER), {n}) AS term FROM words" for n in (3, 4, 5)
+    )
+    return f"""words AS (SELECT id, concat(' ', unnest(string_split(c, ' ')), ' ') AS word FROM {source}),
+  terms AS ({parts}), counts AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY id, term)"""
+
+
+VOCABULARY = """vocabulary AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM counts GROUP BY term
+    ORDER BY total DESC, term LIMIT {0})"""
+
 ORACLES = {
     "clean_text": f"WITH {DOCS} SELECT id, c AS comentario_clean FROM docs",
     "valid_filter": f"WITH {MIXED} SELECT doc_id AS id, c AS comentario_clean FROM mixed WHERE {VALID}",
@@ -129,6 +150,32 @@ ORACLES = {
     "centroids": """WITH cells AS (SELECT label AS cluster, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos,
         CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
       SELECT cluster, pos, round(avg(x), 6) AS x FROM cells GROUP BY cluster, pos""",
+    "cosine_topk": TOPK,
+    "ivf_topk": TOPK,
+    "saved_index_topk": TOPK,
+    "core_distance": f"WITH {CORE} SELECT id, round(core, 6) AS core FROM core",
+    "mutual_reachability": f"""WITH {CORE} SELECT DISTINCT least(k.id, k.nbr_id) AS a, greatest(k.id, k.nbr_id) AS b,
+      round(greatest(dist, x.core, y.core), 6) AS weight FROM knn k JOIN core x ON x.id = k.id JOIN core y ON y.id = k.nbr_id""",
+    "representative_distances": f"""{TURN_LABELS}, heads AS (SELECT cluster, min(id) AS id FROM labels WHERE cluster <> -1 GROUP BY cluster),
+      reps AS (SELECT cluster, sig FROM heads JOIN sigs USING (id))
+      SELECT x.cluster AS a, y.cluster AS b, round(1 - list_sum(list_transform(range(1, {NUM_PERM + 1}),
+      lambda i: CASE WHEN x.sig[i] = y.sig[i] THEN 1 ELSE 0 END)) / {NUM_PERM}.0, 6) AS dist
+      FROM reps x JOIN reps y ON x.cluster < y.cluster""",
+    "term_counts": f"WITH {TURNS}, {term_counts('turns')} SELECT id, term, tf FROM counts",
+    "vocabulary": f"WITH {DOCS}, {term_counts('docs')}, {VOCABULARY.format(5000)} SELECT term, total, df FROM vocabulary",
+    "tfidf_weights": f"""WITH {TURNS}, {term_counts('turns')}, {VOCABULARY.format(50000)},
+      raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM turns)) / CAST(1 + df AS DOUBLE)) + 1) AS w
+        FROM counts JOIN vocabulary USING (term))
+      SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM raw""",
+    "encoded_vectors": f"""WITH {DOCS}, letters AS (SELECT id, range AS pos,
+        length(c) - length(replace(c, chr(CAST(97 + range AS INTEGER)), '')) AS n FROM docs, range(26))
+      SELECT id, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(n / greatest(sqrt(sum(n * n) OVER (PARTITION BY id)), 1e-30) AS FLOAT) AS DOUBLE), 5) AS x
+      FROM letters""",
+    "csv_scan": "SELECT text AS comentario FROM documents",
+    "assignment_file": f"{TURN_LABELS} SELECT id, comentario, cluster FROM turns JOIN labels USING (id)",
+    "saved_stage": f"WITH {DOCS} SELECT id, c AS comentario_clean FROM docs",
+    "literal_run": f"""{TURN_LABELS}, {SAMPLED.format('turns')}, sized AS (SELECT cluster, count(*) AS size FROM labels GROUP BY cluster)
+      SELECT cluster, size, samples FROM sized JOIN sampled USING (cluster)""",
 }
 
 
