@@ -5,12 +5,14 @@ Equal vectors are one weighted point throughout, so a group of copies costs one
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gavilla.operators import neighbours as N
 from gavilla.operators.components import connected_components
-from gavilla.operators.keys import attach, number_rows, smallest_per_group
+from gavilla.operators.keys import HOT_FLOOR, attach, number_rows
 from gavilla.session import materialise, release
 
 # Neighbours of the core distance, least cluster size.
@@ -22,10 +24,6 @@ TINY = 1e-10
 PIECE = 200_000
 
 
-def _distance(sim, norm_a, norm_b):
-    return F.sqrt(F.greatest(norm_a + norm_b - 2 * sim, F.lit(0.0)))
-
-
 def vector_knn(points: DataFrame, k: int) -> DataFrame:
     """(id, rank, nbr_id, dist) of the exact ``k`` nearest points (id, vec) by Euclidean distance."""
     n = points.count()
@@ -107,18 +105,22 @@ def spanning_tree(points: DataFrame, knn: DataFrame, core: DataFrame, k: int, ex
         )
         picked = materialise(pairs.select("u", "v", "edge.weight", "edge.a", "edge.b"), "picked")
         chosen.append(picked)
-        roots = materialise(connected_components(picked.select("u", "v")).select(F.col("id").alias("grp"), "root"), "roots")
-        sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-        into = materialise(sizes.join(roots, "grp", "left").select("grp", "n", F.coalesce("root", "grp").alias("root")), "into")
-        moved = attach(groups, into, ["grp"], total).select("id", "core", "unseen", F.col("root").alias("grp"))
-        next_groups = materialise(moved, "points")
-        release(groups)
-        groups = next_groups
-        left = into.select("root").distinct().count()
-    tree = points.sparkSession.createDataFrame([], "a bigint, b bigint, weight double")
-    for picked in chosen:
-        tree = tree.unionByName(picked.select("a", "b", "weight"))
-    return tree
+        # The picked edges form a forest over the groups, so each of them joins two.
+        left -= picked.count()
+        if left > 1:
+            roots = connected_components(picked.select("u", "v")).select(F.col("id").alias("grp"), "root")
+            if total > HOT_FLOOR:
+                sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
+                roots = materialise(sizes.join(roots, "grp", "left").select("grp", "n", F.coalesce("root", "grp").alias("root")), "roots")
+                moved = attach(groups, roots, ["grp"], total)
+            else:
+                moved = groups.join(roots, "grp", "left")
+            next_groups = materialise(moved.select("id", "core", "unseen", F.coalesce("root", "grp").alias("grp")), "points")
+            release(groups)
+            groups = next_groups
+    if not chosen:
+        return points.sparkSession.createDataFrame([], "a bigint, b bigint, weight double")
+    return reduce(DataFrame.unionByName, chosen).select("a", "b", "weight")
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -323,7 +325,9 @@ def choose_clusters(clusters: DataFrame, max_rounds: int = 128) -> DataFrame:
             "cluster", "parent", "floor", (F.col("base") + F.coalesce("got", F.lit(0.0))).alias("base"),
             (F.col("pending") - F.coalesce("done", F.lit(0))).alias("pending"), (F.col("kid") - F.coalesce("done_kid", F.lit(0))).alias("kid"),
         )
-        ahead = value.select(F.col("cluster").alias("kid"), F.col("value"), F.lit(None).cast("double").alias("floor2"), F.lit(None).cast("double").alias("base2"), F.lit(None).cast("bigint").alias("kid2"))
+        # All totals so far: a composed step may point at a cluster that finished in an earlier round.
+        known = reduce(DataFrame.unionByName, values)
+        ahead = known.select(F.col("cluster").alias("kid"), F.col("value"), F.lit(None).cast("double").alias("floor2"), F.lit(None).cast("double").alias("base2"), F.lit(None).cast("bigint").alias("kid2"))
         runs = rest.where("pending = 1")
         ahead = ahead.unionByName(runs.select(F.col("cluster").alias("kid"), F.lit(None).cast("double").alias("value"), F.col("floor").alias("floor2"), F.col("base").alias("base2"), F.col("kid").alias("kid2")))
         open_one = runs.join(ahead, "kid", "left").select(
@@ -334,9 +338,9 @@ def choose_clusters(clusters: DataFrame, max_rounds: int = 128) -> DataFrame:
         after = materialise(open_two.unionByName(open_one), "eom")
         release(state)
         state = after
-    best = values[0]
-    for value in values[1:]:
-        best = best.unionByName(value)
+    else:
+        raise RuntimeError("cluster totals did not settle")
+    best = reduce(DataFrame.unionByName, values)
     below = best.where("parent IS NOT NULL").groupBy(F.col("parent").alias("cluster")).agg(F.sum("value").alias("below"))
     kept = clusters.join(below, "cluster", "left").withColumn(
         "kept", F.col("parent").isNotNull() & (F.col("stability") >= F.coalesce("below", F.lit(float("-inf"))))

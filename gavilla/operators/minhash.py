@@ -25,7 +25,7 @@ def coefficients(num_perm: int, seed: int = 1) -> list[tuple[int, int]]:
 def _signature_udf(num_perm: int, seed: int):
     pairs = np.array(coefficients(num_perm, seed), dtype=np.uint64)
     mult, add = pairs[:, :1], pairs[:, 1:]
-    prime, shift = np.uint64(T.PRIME), np.uint64(31)
+    prime, shift, block = np.uint64(T.PRIME), np.uint64(31), BLOCK_GRAMS
 
     def permute(hashes: np.ndarray) -> np.ndarray:
         # Two folds of the high bits reduce modulo 2^31 - 1 without a division.
@@ -37,9 +37,9 @@ def _signature_udf(num_perm: int, seed: int):
 
     def fold(hashes: np.ndarray) -> np.ndarray:
         hashes = np.asarray(hashes, dtype=np.uint64)
-        low = np.full(num_perm, T.PRIME, dtype=np.uint64)
-        for start in range(0, len(hashes), BLOCK_GRAMS):
-            low = np.minimum(low, permute(hashes[start : start + BLOCK_GRAMS]).min(axis=1))
+        low = np.full(num_perm, prime, dtype=np.uint64)
+        for start in range(0, len(hashes), block):
+            low = np.minimum(low, permute(hashes[start : start + block]).min(axis=1))
         return low.astype(np.int64)
 
     @F.pandas_udf("array<bigint>")
