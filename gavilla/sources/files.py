@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-POSITION = ["_file", "_start", "_row"]
+POSITION = ["_file", "_block", "_row"]
 
 
 def read_csv_texts(spark: SparkSession, path: str, column: str = "comentario", multi_line: bool = True) -> DataFrame:
-    """(_file, _start, _row, comentario) of the named column; empty fields stay empty texts.
+    """(_file, _block, _row, comentario) of the named column; empty fields stay empty texts.
 
     The column is picked by its header, as a schema given by hand would bind by position. The first three
     columns are the place in the input and serve as the key of the row order. ``multi_line`` allows line
@@ -18,7 +18,7 @@ def read_csv_texts(spark: SparkSession, path: str, column: str = "comentario", m
     raw = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', inferSchema=False).csv(path)
     return raw.select(
         F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
+        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
         F.coalesce(F.col(f"`{column}`"), F.lit("")).alias("comentario"),
     )
