@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from gavilla.plans import catalog
@@ -31,6 +32,7 @@ def main() -> None:
         start = time.time()
         catalog.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 2)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 2), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
     spark.stop()

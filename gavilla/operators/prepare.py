@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gavilla.functions import text as T
-from gavilla.operators.keys import number_rows
+from gavilla.operators.keys import number_rows, spread
 
 
 def clean_texts(df: DataFrame, text: str = "comentario") -> DataFrame:
@@ -28,6 +28,6 @@ def load_metrics(df: DataFrame, text: str = "comentario") -> DataFrame:
 
 def load_and_clean(df: DataFrame, keys: list[str], text: str = "comentario") -> DataFrame:
     """(id, comentario, comentario_clean): valid rows numbered 0..n-1 in the order of ``keys``."""
-    picked = df.select(*keys, F.col(text).alias("comentario"))
+    picked = spread(df.select(*keys, F.col(text).alias("comentario")), keys[0])
     valid = drop_invalid(clean_texts(picked))
     return number_rows(valid, keys).select("id", "comentario", "comentario_clean")

@@ -32,6 +32,11 @@ def cleaned(spark, sf) -> DataFrame:
     return P.clean_texts(documents(spark, sf))
 
 
+def spread_texts(spark, sf) -> DataFrame:
+    """Cleaned documents rebalanced for work that is heavy per text."""
+    return P.clean_texts(K.spread(documents(spark, sf)))
+
+
 def user_turns(spark, sf) -> DataFrame:
     """Short texts keyed by (conv_id, turn)."""
     return table(spark, sf, "conversations").where("role = 'user'")
@@ -86,7 +91,7 @@ def char_ngrams(spark, sf):
 
 
 def ngram_counts(spark, sf):
-    return cleaned(spark, sf).select("id", F.size(T.gram_set(F.col("comentario_clean"))).cast("bigint").alias("n_grams"))
+    return spread_texts(spark, sf).select("id", F.size(T.gram_set(F.col("comentario_clean"))).cast("bigint").alias("n_grams"))
 
 
 def short_text_grams(spark, sf):
@@ -97,7 +102,7 @@ def short_text_grams(spark, sf):
 
 def gram_hash(spark, sf):
     hashes = F.transform(T.gram_set(F.col("comentario_clean")), T.gram_hash)
-    return cleaned(spark, sf).select(
+    return spread_texts(spark, sf).select(
         "id", F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("hash_sum")
     )
 
