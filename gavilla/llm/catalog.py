@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gavilla.llm import decontaminate, quality, simhash, tokens, toxicity
+from gavilla.llm import chat, decontaminate, extraction, licences, quality, simhash, tokens, toxicity, urls, warc
 from gavilla.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,21 +20,42 @@ def op2_benchmark_decontamination(spark, sf):
     return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op3_html_extraction(spark, sf):
+    return extraction.page_texts(table(spark, sf, "pages"))
+
+
 def op4_byte_bpe(spark, sf):
     return tokens.token_digests(table(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_chat_quotations(spark, sf):
+    return chat.reply_ordered(table(spark, sf, "conversations"))
+
+
 def op6_simhash_near_dedup(spark, sf):
     near = simhash.near_copies(table(spark, sf, "documents"))
     return near.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_url_filter(spark, sf):
+    return urls.verdicts(table(spark, sf, "pages"))
+
+
+def op8_license_scan(spark, sf):
+    return licences.licence_labels(table(spark, sf, "documents"))
+
+
 def op9_toxicity(spark, sf):
     return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op10_warc_bundles(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
 QUERIES = [
-    op1_quality_rules, op2_benchmark_decontamination, op4_byte_bpe, op6_simhash_near_dedup, op9_toxicity,
+    op1_quality_rules, op2_benchmark_decontamination, op3_html_extraction, op4_byte_bpe, op5_chat_quotations,
+    op6_simhash_near_dedup, op7_url_filter, op8_license_scan, op9_toxicity, op10_warc_bundles,
 ]
 
 

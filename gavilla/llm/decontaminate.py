@@ -31,19 +31,21 @@ SPLIT = r"[^\p{L}\p{N}\p{M}\x{01}\x{03}]+"
 def marked(text: Column) -> Column:
     """The text in lower case with \\x01n before numbers, \\x01u before their units and \\x01p before names.
 
-    A name is a capitalised word that does not start a sentence or line.
+    A name is a capitalised word after a space that follows a letter, digit, comma or the like, so that it does not start
+    a sentence or line.
     """
-    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\x01\x02\x03", "   ")
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    t = F.when(t.rlike("[\x01-\x03]"), F.translate(t, "\x01\x02\x03", "   ")).otherwise(t)
     joined = F.regexp_replace(F.regexp_replace(t, r"([0-9])[.,]([0-9])", "$1\x03$2"), r"([0-9])[.,]([0-9])", "$1\x03$2")
     numbers = F.regexp_replace(joined, r"([0-9][0-9\x{03}]*)(?: ?(?:(?i)(" + UNITS + r"))\b)?", " \x01n$1 \x01u$2 ")
     numbers = F.regexp_replace(numbers, "\x01u ", " ")
     t = F.when(t.rlike("[0-9]"), numbers).otherwise(t)
-    named = F.regexp_replace(t, r"(^|[^\p{L}\p{N}\p{M}\x{01}])(\p{Lu}\p{Ll}+)", "$1\x01p$2")
-    return F.lower(F.regexp_replace(named, r"(^|[.!?:][^\p{L}\p{N}\x{01}]*|\n[^\p{L}\p{N}\x{01}]*)\x{01}p", "$1"))
+    return F.lower(F.regexp_replace(t, r"\p{Lu}(?<=[\p{L}\p{N},;)\"'] .)\p{Ll}+", "\x01p$0"))
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPLIT), "")
+    """Tokens of a text; the first or last one is empty if marks stand there."""
+    return F.split(text, SPLIT)
 
 
 def template(text: Column) -> Column:
@@ -69,6 +71,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     Windows have ``WINDOW`` tokens, those of a shorter item all of its tokens.
     """
     named = benchmark.where("item_id IS NOT NULL").select("item_id", tokens(template(marked(F.col("text")))).alias("names"))
+    named = named.withColumn("names", F.array_remove("names", ""))
     named = named.distinct().where(F.size("names") >= LEAST_ITEM).withColumn("size", F.least(F.lit(WINDOW), F.size("names")))
     starts = F.sequence(F.lit(1), F.size("names") - F.col("size") + 1)
     windows = named.select("item_id", "size", "names", F.posexplode(starts).alias("at", "start")).select(
@@ -129,7 +132,7 @@ def _consistent(lines: DataFrame, docs: DataFrame, benchmark: DataFrame) -> Data
     values = tokens(marked(F.col("text")))
     some = lines.select("doc_id").distinct()
     theirs = docs.join(some, "doc_id", "left_semi").select("doc_id", values.alias("theirs")).distinct()
-    ours = benchmark.select("item_id", values.alias("ours")).distinct()
+    ours = benchmark.select("item_id", F.array_remove(values, "").alias("ours")).distinct()
     covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("size") - 1))))
     # (ours, theirs) at each covered place that holds a placeholder.
     pairs = F.transform(
