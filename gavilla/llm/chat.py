@@ -31,7 +31,7 @@ def own_text(text: Column) -> Column:
     """The message without quoted lines and the attributions before them, trimmed."""
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x, i: ~x.rlike(QUOTE) & ~(x.rlike(ATTRIBUTION) & F.coalesce(F.get(lines, i + 1).rlike(QUOTE), F.lit(False))))
-    return F.trim(F.array_join(kept, "\n"))
+    return F.regexp_replace(F.array_join(kept, "\n"), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
 def _lines(turns: DataFrame) -> DataFrame:

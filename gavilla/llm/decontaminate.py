@@ -37,7 +37,8 @@ def marked(text: Column) -> Column:
     t = F.coalesce(text.cast("string"), F.lit(""))
     t = F.when(t.rlike("[\x01-\x03]"), F.translate(t, "\x01\x02\x03", "   ")).otherwise(t)
     joined = F.regexp_replace(F.regexp_replace(t, r"([0-9])[.,]([0-9])", "$1\x03$2"), r"([0-9])[.,]([0-9])", "$1\x03$2")
-    numbers = F.regexp_replace(joined, r"([0-9][0-9\x{03}]*)(?: ?(?:(?i)(" + UNITS + r"))\b)?", " \x01n$1 \x01u$2 ")
+    number = r"([0-9][0-9\x{03}]*)(?: ?((?i)" + UNITS + r")([^\p{L}\p{N}\x{03}]|$))?"
+    numbers = F.regexp_replace(joined, number, " \x01n$1 \x01u$2 $3")
     numbers = F.regexp_replace(numbers, "\x01u ", " ")
     t = F.when(t.rlike("[0-9]"), numbers).otherwise(t)
     return F.lower(F.regexp_replace(t, r"\p{Lu}(?<=[\p{L}\p{N},;)\"'] .)\p{Ll}+", "\x01p$0"))
