@@ -46,7 +46,7 @@ def main() -> None:
     from gavilla.session import build_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
+    spark = build_session(master=f"local[{os.environ.get('COMPARE_CPUS', '8')}]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = connect(sf), entry.oracle_sql()
     for name, query in entry.queries().items():
