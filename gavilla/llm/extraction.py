@@ -2,7 +2,7 @@
 
 The pages of a host are merged into one tree whose nodes are element paths. A node's presentation importance is the
 entropy of the ways its children are laid out over pages; its content importance falls with the entropy of its texts over
-pages, that is, with how many pages share them. Branches whose mean importance is low are removed from each page. Where
+pages, that is, with how many pages share them. Branches that hold no important node are removed from each page. Where
 a host has few pages, the tree of all hosts speaks with it. HTML's own sectioning says some things outright: navigation,
 headers, footers, asides, forms and the like are never main text, and a page that marks its article has its text there.
 """
@@ -216,14 +216,14 @@ def importance(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def low_branches(nodes: DataFrame) -> DataFrame:
-    """(host, path) of the branches to remove: mean importance, weighted by pages, of all nodes in the branch below LOW."""
+    """(host, path, n) of the branches to remove: those in which no node has an importance of LOW or more."""
     by_host = materialise(importance(nodes, ["host"]), "host-tree")
     overall = importance(nodes, []).select("path", F.col("own").alias("overall"), F.col("pages").alias("everywhere"))
     both = by_host.join(overall, "path").where(F.col("everywhere") >= PLAIN_PAGES)
     mixed = (F.col("own") * F.col("pages") + F.col("overall") * BACKGROUND) / (F.col("pages") + BACKGROUND)
     above = both.select("host", "pages", mixed.alias("mixed"), F.explode(_branches_column()).alias("path"))
-    mean = above.groupBy("host", "path").agg((F.sum(F.col("mixed") * F.col("pages")) / F.sum("pages")).alias("mean"), F.max("pages").alias("n"))
-    return mean.where(F.col("mean") < LOW).select("host", "path", "n")
+    most = above.groupBy("host", "path").agg(F.max("mixed").alias("most"), F.max("pages").alias("n"))
+    return most.where(F.col("most") < LOW).select("host", "path", "n")
 
 
 def extract(pages: DataFrame, out: str = "text") -> DataFrame:

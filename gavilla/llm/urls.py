@@ -17,7 +17,8 @@ from gavilla.session import materialise
 # The rules of the registered query.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 ORDER = 5
-SLOTS = 1 << 18  # counters of each of the four tables; grams are hashed to them, so a model never outgrows them
+SLOTS = 1 << 20  # counters of each of the four tables; grams are hashed to them, so a model never outgrows them
+SHIFT = np.uint64(44)  # leaves as many bits of a hash as number the slots
 STRENGTH = 2.0  # weight of the shorter context, in observations
 FOLDS = 4  # one of so many parts of the ruled URLs calibrates
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,9 +72,9 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if k:
                 seen = (seen + flat[at - k] + np.uint64(1)) * mix
             base = (seen + np.uint64(k + 1)) * turn
-            context[k] = ((base ^ (base >> np.uint64(31))) * mix >> np.uint64(46)).astype(np.int64)
+            context[k] = ((base ^ (base >> np.uint64(31))) * mix >> SHIFT).astype(np.int64)
             both = (base + (flat[at] + np.uint64(1)) * mix) * turn
-            gram[k] = ((both ^ (both >> np.uint64(31))) * mix >> np.uint64(46)).astype(np.int64)
+            gram[k] = ((both ^ (both >> np.uint64(31))) * mix >> SHIFT).astype(np.int64)
     return gram, context, text[at]
 
 
