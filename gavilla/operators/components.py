@@ -4,24 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gavilla.operators.keys import HOT_FLOOR, attach, number_rows
+from gavilla.operators.keys import attach, number_rows
 from gavilla.session import materialise, release
 
 
-def _large_star(edges: DataFrame, total: int, floor: int) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n"))
-    if 2 * total > floor:
-        low = materialise(low, "low")
-    near = attach(both, low, ["u"], 2 * total, floor=floor)
+    low = materialise(low, "low")
+    near = attach(both, low, ["u"], 2 * total)
     return near.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, total: int, floor: int) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
-    if total > floor:
-        low = materialise(low, "low")
-    near = attach(edges, low, ["u"], total, floor=floor)
+    low = materialise(low, "low")
+    near = attach(edges, low, ["u"], total)
     moved = near.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
@@ -34,7 +32,7 @@ def _is_star(edges: DataFrame) -> bool:
     return ends.where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
-def connected_components(edges: DataFrame, floor: int = HOT_FLOOR, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root) for every id in the edges (a, b); root is the smallest id of the component.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Every round is a grouped
@@ -45,8 +43,8 @@ def connected_components(edges: DataFrame, floor: int = HOT_FLOOR, max_rounds: i
     current = materialise(start.distinct(), "edges")
     for _ in range(max_rounds):
         total = current.count()
-        wide = materialise(_large_star(current, total, floor), "large")
-        narrow = materialise(_small_star(wide, wide.count(), floor), "small")
+        wide = materialise(_large_star(current, total), "large")
+        narrow = materialise(_small_star(wide, wide.count()), "small")
         release(current, wide)
         current = narrow
         if _is_star(current):
@@ -57,13 +55,13 @@ def connected_components(edges: DataFrame, floor: int = HOT_FLOOR, max_rounds: i
     raise RuntimeError("components did not settle")
 
 
-def label_components(ids: DataFrame, roots: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
+def label_components(ids: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, cluster): components of two or more ids numbered by their smallest id, the others -1."""
     roots = materialise(roots, "roots")
     sizes = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     groups = materialise(number_rows(sizes, ["root"], "cluster"), "groups")
     total = roots.count()
-    known = attach(roots, groups, ["root"], total, floor=floor).select("id", "cluster")
+    known = attach(roots, groups, ["root"], total).select("id", "cluster")
     return ids.select("id").join(known, "id", "left").select(
         "id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")
     )

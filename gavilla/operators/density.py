@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gavilla.operators import neighbours as N
 from gavilla.operators.components import connected_components
-from gavilla.operators.keys import HOT_FLOOR, attach, number_rows
+from gavilla.operators.keys import attach, number_rows
 from gavilla.session import materialise, release
 
 # Neighbours of the core distance, least cluster size.
@@ -109,12 +109,9 @@ def spanning_tree(points: DataFrame, knn: DataFrame, core: DataFrame, k: int, ex
         left -= picked.count()
         if left > 1:
             roots = connected_components(picked.select("u", "v")).select(F.col("id").alias("grp"), "root")
-            if total > HOT_FLOOR:
-                sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-                roots = materialise(sizes.join(roots, "grp", "left").select("grp", "n", F.coalesce("root", "grp").alias("root")), "roots")
-                moved = attach(groups, roots, ["grp"], total)
-            else:
-                moved = groups.join(roots, "grp", "left")
+            sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
+            roots = materialise(sizes.join(roots, "grp", "left").select("grp", "n", F.coalesce("root", "grp").alias("root")), "roots")
+            moved = attach(groups, roots, ["grp"], total)
             next_groups = materialise(moved.select("id", "core", "unseen", F.coalesce("root", "grp").alias("grp")), "points")
             release(groups)
             groups = next_groups
@@ -380,9 +377,9 @@ def full_tree(leaves: DataFrame, tree: DataFrame, copies: DataFrame) -> DataFram
     return tree.unionByName(hung.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("core").alias("weight")))
 
 
-def density_clusters(points: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, min_samples: int = MIN_SAMPLES, k: int = 30, exact: bool = True) -> DataFrame:
+def density_clusters(points: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, min_samples: int = MIN_SAMPLES, k: int = 30, exact: bool = True, knn: DataFrame | None = None) -> DataFrame:
     """(id, cluster) of (id, vec): chosen clusters numbered by their smallest id, everything else -1."""
-    leaves, tree, copies = density_graph(points, k, min_samples, exact)
+    leaves, tree, copies = density_graph(points, k, min_samples, exact, knn)
     merges = single_linkage(tree, leaves.select("id", "copies"))
     clusters, exits = condensed_tree(merges, leaves, min_cluster_size)
     if clusters.isEmpty():

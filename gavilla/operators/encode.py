@@ -9,7 +9,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import types as Ty
 
-from gavilla.operators.tfidf import tfidf_vectors
+from gavilla.operators.tfidf import COMPONENTS, VOCABULARY, tfidf_vectors
 
 TFIDF = "tfidf_svd"
 
@@ -31,8 +31,10 @@ def encode(df: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.n
     return df.select("id", predict("comentario_clean").alias("vec"))
 
 
-def embed(df: DataFrame, encoder: str | Callable = TFIDF, batch_size: int = 512, seed: int = 42) -> DataFrame:
+def embed(df: DataFrame, encoder: str | Callable = TFIDF, batch_size: int = 512, components: int = COMPONENTS, max_terms: int = VOCABULARY, seed: int = 42) -> DataFrame:
     """Vectors from the named choice: a callable as in ``encode``, or the TF-IDF projection."""
     if encoder == TFIDF:
-        return tfidf_vectors(df, seed=seed)
+        return tfidf_vectors(df, components, seed, max_terms)
+    if not callable(encoder):
+        raise ValueError(f"unknown encoder {encoder!r}: name {TFIDF!r} or give a callable")
     return encode(df, encoder, batch_size)

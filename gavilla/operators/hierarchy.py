@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gavilla.operators.keys import number_rows
-from gavilla.operators.minhash import estimated_jaccard
 from gavilla.operators.neighbours import build_cells, default_cells, exact_search, sample_pivots
 from gavilla.operators.summary import TREE_CLUSTERS
 from gavilla.session import materialise, release
@@ -17,20 +16,26 @@ TREE_MERGES = "node_id bigint, left_id bigint, right_id bigint, distance double,
 
 
 def representative_distances(reps: DataFrame) -> DataFrame:
-    """(a, b, dist) with a < b over the representatives of at most TREE_CLUSTERS clusters.
+    """(a, b, dist) with a < b over the representatives (cluster, sig) of all clusters that share a signature position.
 
-    The tree needs every pair of this capped set. Each row names its partners by rank, so that the pairs
-    come from an equi-join.
+    All other pairs are at distance 1 and are not listed. Pairs meet in an equi-join on (position, value), which only
+    brings together clusters that the tree does join below 1.
     """
-    few = reps.orderBy("cluster").limit(TREE_CLUSTERS).select("cluster", F.col("sig").alias("x"))
-    return _ranked_pairs(few, lambda x, y: 1 - estimated_jaccard(x, y)).withColumnRenamed("total", "dist")
+    cells = reps.select(F.col("cluster").cast("bigint").alias("cluster"), F.size("sig").alias("n"), F.posexplode("sig").alias("pos", "value"))
+    cells = materialise(cells, "positions")
+    left = cells.withColumnRenamed("cluster", "a")
+    right = cells.select(F.col("cluster").alias("b"), "pos", "value")
+    met = left.join(right, ["pos", "value"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("same"), F.max("n").alias("n"))
+    return met.select("a", "b", (1 - F.col("same") / F.col("n")).alias("dist"))
 
 
 SIDE = ["tip", "height", "size", "within"]
 
 
 def _pair_linkage(pairs: DataFrame, method: str) -> DataFrame:
-    """Merges from all leaf pairs (a, b, total): distances for "average", squared distances for "ward".
+    """Merges from leaf pairs (a, b, total): similarities for "average", squared distances for "ward".
+
+    Average linkage needs only the pairs with a similarity above 0: clusters without a link are at distance 1.
 
     Every reciprocal nearest pair of a round is merged at once, which gives the same tree as one merge at
     a time because both linkages are reducible. A cluster is named by its smallest leaf; per pair only the
@@ -46,7 +51,7 @@ def _pair_linkage(pairs: DataFrame, method: str) -> DataFrame:
     )
     na, nb = F.col("a_size"), F.col("b_size")
     if method == "average":
-        dist = F.col("total") / (na * nb)
+        dist = 1 - F.col("total") / (na * nb)
     else:
         apart = F.col("total") / (na * nb) - F.col("a_within") / (na * na) - F.col("b_within") / (nb * nb)
         dist = F.sqrt(2 * na * nb / (na + nb) * F.greatest(apart, F.lit(0.0)))
@@ -58,13 +63,13 @@ def _pair_linkage(pairs: DataFrame, method: str) -> DataFrame:
         )
         nearest = sides.groupBy("c").agg(F.min_by("link", "order").alias("link"))
         both = nearest.groupBy("link.a", "link.b").agg(F.count("*").alias("n"), F.first("link").alias("link"))
-        merged = both.where("n = 2").select(
+        merged = materialise(both.where("n = 2").select(
             F.lit(rounds).alias("round"), "a", "b", "link.a_tip", "link.b_tip",
             # Neither linkage ever shrinks; the maximum only removes rounding in equal heights.
             F.greatest("link.dist", "link.a_height", "link.b_height").alias("distance"),
             (F.col("link.a_size") + F.col("link.b_size")).alias("size"),
             (F.col("link.a_within") + F.col("link.b_within") + F.col("link.total")).alias("within"),
-        )
+        ), "merged")
         done.append(merged.drop("within"))
         into = merged.select(
             F.explode(F.array("a", "b")).alias("old"), F.col("a").alias("new"), F.col("round").alias("tip"),
@@ -86,14 +91,49 @@ def _pair_linkage(pairs: DataFrame, method: str) -> DataFrame:
               for s, o in (("a", "b"), ("b", "a")) for n in SIDE],
         )
         same = [F.first(f"{s}_{n}").alias(f"{s}_{n}") for s in "ab" for n in SIDE]
-        links = materialise(ordered.groupBy("a", "b").agg(F.sum("total").alias("total"), *same), "links")
+        grown = materialise(ordered.groupBy("a", "b").agg(F.sum("total").alias("total"), *same), "links")
+        release(links)
+        links = grown
         rounds += 1
     return _all(spark, done)
 
 
-def average_linkage(pairs: DataFrame) -> DataFrame:
-    """Merges of average linkage from all leaf pairs (a, b, dist)."""
-    return _pair_linkage(pairs.withColumnRenamed("dist", "total"), "average")
+def average_linkage(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Merges of average linkage over ``clusters`` (cluster) from their pairs (a, b, dist) below distance 1.
+
+    What no pair links any more is joined at distance 1, one cluster after the other in the order of their smallest leaves.
+    """
+    similar = pairs.where("dist < 1").select("a", "b", (1 - F.col("dist")).alias("total"))
+    merges = materialise(_pair_linkage(similar, "average"), "average")
+    return merges.unionByName(_join_rest(merges, clusters))
+
+
+PER_BLOCK = 10_000
+
+
+def _join_rest(merges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Merges at distance 1 of the clusters that ``merges`` leave, named by their smallest leaves."""
+    rounds = merges.agg(F.coalesce(F.max("round") + 1, F.lit(0)).alias("r")).first()["r"]
+    names = clusters.select(F.col("cluster").cast("bigint").alias("c")).distinct()
+    gone = merges.select(F.col("b").alias("c"))
+    last = merges.groupBy(F.col("a").alias("c")).agg(F.max_by(F.struct("round", "size"), "round").alias("top"))
+    tops = names.join(gone, "c", "left_anti").join(last, "c", "left").select(
+        "c", F.coalesce("top.round", F.lit(-1)).alias("tip"), F.coalesce("top.size", F.lit(1)).cast("bigint").alias("size")
+    )
+    ranked = materialise(number_rows(tops, ["c"], "rank"), "tops").withColumn("block", F.floor(F.col("rank") / PER_BLOCK))
+    # Leaves so far: within blocks of ranks, and of the blocks before.
+    sums = ranked.groupBy("block").agg(F.sum("size").alias("n"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("block").orderBy("rank")
+    placed = ranked.withColumn("run", F.sum("size").over(within)).join(starts, "block")
+    first = ranked.where("rank = 0").select(F.col("c").alias("a"), F.col("tip").alias("first_tip"))
+    order = F.col("rank").cast("int")
+    return placed.where("rank > 0").join(F.broadcast(first)).select(
+        (order - 1 + rounds).alias("round"), "a", F.col("c").alias("b"),
+        F.when(order == 1, F.col("first_tip")).otherwise(order - 2 + rounds).alias("a_tip"), F.col("tip").alias("b_tip"),
+        F.lit(1.0).alias("distance"), (F.col("start") + F.col("run")).alias("size"),
+    )
 
 
 def _ranked_pairs(rows: DataFrame, value) -> DataFrame:

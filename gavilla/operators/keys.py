@@ -8,8 +8,6 @@ from gavilla.session import materialise
 
 # A group above total / HOT_SLOTS rows is joined by broadcast; there are fewer than HOT_SLOTS such groups.
 HOT_SLOTS = 2000
-# Below this many rows no group can be large enough to matter.
-HOT_FLOOR = 2_000_000
 
 
 def number_rows(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
@@ -34,13 +32,9 @@ def number_rows(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
     )
 
 
-def spread(df: DataFrame, key: str = "id") -> DataFrame:
-    """Rebalance before work that is heavy per row, if the input has fewer files than the cluster has cores.
-
-    A large input already comes in many splits and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if len(df.inputFiles()) < cores else df
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt evenly over the shuffle partitions by its unique ``keys``, before work that is heavy per row."""
+    return df.repartition(*(keys or ("id",)))
 
 
 def attach(
@@ -49,7 +43,6 @@ def attach(
     keys: list[str],
     total: int,
     size: str = "n",
-    floor: int = HOT_FLOOR,
     how: str = "inner",
 ) -> DataFrame:
     """Join each member to its group's row (one row per key, ``size`` = members in the group).
@@ -58,8 +51,6 @@ def attach(
     total / HOT_SLOTS rows, of which there are fewer than HOT_SLOTS, go by broadcast and never shuffle
     their members; what is left has no key of more than that share.
     """
-    if total <= floor:
-        return members.join(groups.drop(size), keys, how)
     limit = max(total // HOT_SLOTS, 1)
     hot = groups.where(F.col(size) > limit).drop(size)
     cold = groups.where(F.col(size) <= limit).drop(size)
@@ -69,12 +60,12 @@ def attach(
     return tagged.where(F.col("_hot")).select(*columns).unionByName(rest.select(*columns))
 
 
-def collapse_copies(df: DataFrame, key: Column, total: int | None = None, floor: int = HOT_FLOOR) -> DataFrame:
+def collapse_copies(df: DataFrame, key: Column, total: int | None = None) -> DataFrame:
     """(id, rep): rep is the smallest id among the rows with an equal ``key`` expression."""
     keyed = materialise(df.select("id", key.alias("_key")), "copykeys")
     groups = materialise(keyed.groupBy("_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "copies")
     total = keyed.count() if total is None else total
-    return attach(keyed, groups, ["_key"], total, floor=floor).select("id", "rep")
+    return attach(keyed, groups, ["_key"], total).select("id", "rep")
 
 
 def smallest_per_group(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gavilla.functions import text as T
-from gavilla.operators.keys import HOT_FLOOR, attach, spread
+from gavilla.operators.keys import attach, spread
 from gavilla.session import materialise
 
 # Elements of one (permutation, gram) block held while a signature is computed.
@@ -35,16 +35,22 @@ def _signature_udf(num_perm: int, seed: int):
         out[out == prime] = 0
         return out
 
-    def fold(hashes: np.ndarray) -> np.ndarray:
-        hashes = np.asarray(hashes, dtype=np.uint64)
-        low = np.full(num_perm, prime, dtype=np.uint64)
-        for start in range(0, len(hashes), block):
-            low = np.minimum(low, permute(hashes[start : start + block]).min(axis=1))
-        return low.astype(np.int64)
-
-    @F.pandas_udf("array<bigint>")
-    def signature(hashes: pd.Series) -> pd.Series:
-        return hashes.map(fold)
+    @F.arrow_udf("array<bigint>")
+    def signature(hashes: pa.Array) -> pa.Array:
+        """Minima of all texts of a batch at once, ``block`` grams at a time."""
+        flat = np.asarray(hashes.flatten()).astype(np.uint64)
+        sizes = np.asarray(hashes.value_lengths().fill_null(0)).astype(np.int64)
+        ends = np.cumsum(sizes)
+        low = np.full((num_perm, len(sizes)), prime, dtype=np.uint64)
+        for start in range(0, len(flat), block):
+            part = permute(flat[start : start + block])
+            first, last = np.searchsorted(ends, [start, start + part.shape[1] - 1], side="right")
+            rows = np.arange(first, last + 1)
+            rows = rows[sizes[rows] > 0]
+            begins = np.maximum(ends[rows] - sizes[rows] - start, 0)
+            low[:, rows] = np.minimum(low[:, rows], np.minimum.reduceat(part, begins, axis=1))
+        offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * num_perm)
+        return pa.ListArray.from_arrays(offsets, pa.array(low.T.reshape(-1).astype(np.int64)))
 
     return signature
 
@@ -77,7 +83,7 @@ def bucket_sizes(entries: DataFrame) -> DataFrame:
     return entries.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n"))
 
 
-def star_edges(entries: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
+def star_edges(entries: DataFrame) -> DataFrame:
     """(id, hub): each bucket member linked to the smallest id of the bucket.
 
     The edges span the same components as all pairs of each bucket, but their number is linear in the
@@ -86,7 +92,7 @@ def star_edges(entries: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
     entries = materialise(entries, "buckets")
     hubs = materialise(bucket_sizes(entries).where("n > 1"), "hubs")
     total = hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    linked = attach(entries, hubs, ["band", "bucket"], total, floor=floor)
+    linked = attach(entries, hubs, ["band", "bucket"], total)
     return linked.where("id <> hub").select("id", "hub").distinct()
 
 

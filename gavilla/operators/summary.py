@@ -35,14 +35,16 @@ def drop_noise(labels: DataFrame) -> DataFrame:
 def centroids(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """(cluster, centroid): element-wise mean without noise, not rescaled.
 
-    Means are combined before the shuffle, one row per (cluster, position) and map task, so a cluster
-    holding most rows costs no more than a small one.
+    Means are combined before the shuffle, one buffer per cluster and map task, so a cluster holding most
+    rows costs no more than a small one.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     members = vectors.join(drop_noise(labels), "id")
-    cells = members.select("cluster", F.posexplode("vec").alias("pos", "x"))
-    means = cells.groupBy("cluster", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return means.groupBy("cluster").agg(F.transform(ordered, lambda s: s["x"]).alias("centroid"))
+    vector = array_to_vector(F.col("vec").cast("array<double>"))
+    means = members.groupBy("cluster").agg(Summarizer.mean(vector).alias("mean"))
+    return means.select("cluster", vector_to_array("mean").alias("centroid"))
 
 
 def aggregates(assigned: DataFrame, centres: DataFrame | None = None, n_samples: int = SAMPLES) -> DataFrame:

@@ -37,13 +37,13 @@ def spread_texts(spark, sf) -> DataFrame:
     return P.clean_texts(K.spread(documents(spark, sf)))
 
 
-def user_turns(spark, sf) -> DataFrame:
+def turns(spark, sf) -> DataFrame:
     """Short texts keyed by (conv_id, turn)."""
-    return table(spark, sf, "conversations").where("role = 'user'")
+    return table(spark, sf, "conversations")
 
 
 def short_texts(spark, sf) -> DataFrame:
-    return P.load_and_clean(user_turns(spark, sf), ["conv_id", "turn"], "text")
+    return P.load_and_clean(turns(spark, sf), ["conv_id", "turn"], "text")
 
 
 def joined(col) -> F.Column:
@@ -58,12 +58,11 @@ def clean_text(spark, sf):
 
 
 def mixed_rows(spark, sf):
-    """Documents with every tenth text replaced by its number and every tenth by blanks."""
-    nth = F.col("id") % 10
-    return documents(spark, sf).withColumn(
-        "comentario",
-        F.when(nth == 0, F.col("id").cast("string")).when(nth == 1, F.lit(" ")).otherwise(F.col("comentario")),
-    )
+    """All documents, and beside them bad rows with negative ids: numbers, blanks and nulls in turn."""
+    rows = documents(spark, sf)
+    third = F.col("id") % 3
+    bad = F.when(third == 0, F.col("id").cast("string")).when(third == 1, F.lit(" "))
+    return rows.unionByName(rows.select((-1 - F.col("id")).alias("id"), bad.alias("comentario")))
 
 
 def valid_filter(spark, sf):
@@ -148,13 +147,12 @@ def jaccard_estimate(spark, sf):
     """Estimate along each star edge."""
     sigs = materialise(doc_signatures(spark, sf), "signatures")
     edges = M.star_edges(M.buckets(sigs, DOC_BANDS, DOC_ROWS))
-    left = sigs.withColumnRenamed("sig", "sig_a")
-    right = sigs.select(F.col("id").alias("hub"), F.col("sig").alias("sig_b"))
-    return (
-        edges.join(left, "id")
-        .join(right, "hub")
-        .select("id", "hub", F.round(M.estimated_jaccard(F.col("sig_a"), F.col("sig_b")), 6).alias("jaccard"))
-    )
+    pairs = materialise(edges.join(sigs.withColumnRenamed("sig", "sig_a"), "id"), "pairs")
+    # One hub may stand for a large part of all rows.
+    hubs = pairs.groupBy("hub").agg(F.count("*").alias("n"))
+    hubs = materialise(hubs.join(sigs.select(F.col("id").alias("hub"), F.col("sig").alias("sig_b")), "hub"), "hubs")
+    both = K.attach(pairs, hubs, ["hub"], pairs.count())
+    return both.select("id", "hub", F.round(M.estimated_jaccard(F.col("sig_a"), F.col("sig_b")), 6).alias("jaccard"))
 
 
 # -- components and cluster summaries ------------------------------------------------------------
@@ -274,9 +272,17 @@ def cosine_topk(spark, sf):
     return N.cosine_topk(vectors(spark, sf), 30).select("id", "rank", "nbr_id", F.round("sim", 6).alias("sim"))
 
 
+RECALL = 0.5  # of vectors without structure
+
+
+def reached(found: DataFrame) -> DataFrame:
+    return found.select("wanted", F.lit(RECALL).alias("level"), (F.col("recall") >= RECALL).alias("reached"))
+
+
 def ivf_recall(spark, sf):
+    """Whether probing a part of the cells finds at least RECALL of the true neighbours."""
     truth = materialise(N.cosine_topk(vectors(spark, sf), 30), "truth")
-    return N.recall(N.ivf_topk(vectors(spark, sf), 30, nprobe=16), truth)
+    return reached(N.recall(N.ivf_topk(vectors(spark, sf), 30, nprobe=16), truth))
 
 
 def ivf_topk(spark, sf):
@@ -295,8 +301,9 @@ def saved_index_topk(spark, sf):
 
 
 def hyperplane_recall(spark, sf):
+    """Whether sharing the signs of one of 16 bands of projections finds at least RECALL of the true neighbours."""
     truth = materialise(N.cosine_topk(vectors(spark, sf), 30), "truth")
-    return N.recall(N.hyperplane_topk(vectors(spark, sf), 30, bits=4), truth)
+    return reached(N.recall(N.hyperplane_topk(vectors(spark, sf), 30, bits=4), truth))
 
 
 def knn_and_core(spark, sf):
@@ -355,13 +362,14 @@ def representative_distances(spark, sf):
 
 def average_tree(spark, sf):
     heads = turn_heads(spark, sf)
-    return H.tree_document(H.average_linkage(H.representative_distances(heads)), heads)[0]
+    found = H.tree_document(H.average_linkage(H.representative_distances(heads), heads), heads)[0]
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 def tree_json(spark, sf):
     """Lines of the nested document."""
     heads = turn_heads(spark, sf)
-    return H.tree_document(H.average_linkage(H.representative_distances(heads)), heads)[1]
+    return H.tree_document(H.average_linkage(H.representative_distances(heads), heads), heads)[1]
 
 
 # -- terms and encoders --------------------------------------------------------------------------
@@ -372,7 +380,7 @@ def term_counts(spark, sf):
 
 
 def vocabulary(spark, sf):
-    return TF.vocabulary(materialise(TF.term_counts(cleaned(spark, sf)), "counts"), 5000)
+    return TF.vocabulary(materialise(TF.term_counts(cleaned(spark, sf)), "counts"))
 
 
 def tfidf_weights(spark, sf):
@@ -416,6 +424,22 @@ def assignment_file(spark, sf):
     return spark.read.schema("id bigint, comentario string, cluster int").json(folder)
 
 
+def aggregate_file(spark, sf):
+    """Cluster aggregates written as JSON lines and read back."""
+    folder = f"{scratch_root(spark)}/gavilla/json-{uuid.uuid4().hex}"
+    FI.write_aggregates(S.aggregates(materialise(assignments(spark, sf), "assigned")), folder)
+    found = spark.read.schema("cluster int, size bigint, sample_comments array<string>").json(folder)
+    return found.select("cluster", "size", F.array_join("sample_comments", " | ").alias("samples"))
+
+
+def csv_load(spark, sf):
+    """Documents written as one CSV file, read by header name, cleaned and numbered."""
+    folder = f"{scratch_root(spark)}/gavilla/csv-{uuid.uuid4().hex}"
+    source = documents(spark, sf).select("id", "comentario", F.lit("x").alias("other"))
+    source.coalesce(1).sortWithinPartitions("id").write.options(header=True, quote='"', escape='"', quoteAll=True).csv(folder)
+    return P.load_and_clean(FI.read_csv_texts(spark, folder), FI.POSITION)
+
+
 def saved_stage(spark, sf):
     """Cleaned texts made once and then taken from the saved stage."""
     folder = f"{scratch_root(spark)}/gavilla/stage-{uuid.uuid4().hex}"
@@ -447,7 +471,8 @@ QUERIES = [
     l2_normalise, precision_cast, centroids, cosine_topk, ivf_topk, ivf_recall, saved_index_topk,
     hyperplane_recall, core_distance, mutual_reachability, spanning_tree, single_linkage, condensed_clusters,
     density_clusters, ward_tree, representative_distances, average_tree, tree_json, term_counts, vocabulary,
-    tfidf_weights, svd_vectors, encoded_vectors, csv_scan, assignment_file, saved_stage, literal_run, semantic_run,
+    tfidf_weights, svd_vectors, encoded_vectors, csv_scan, csv_load, assignment_file, aggregate_file,
+    saved_stage, literal_run, semantic_run,
 ]
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from gavilla.functions.text import PRIME
 from gavilla.operators.minhash import coefficients
-from gavilla.plans.catalog import DOC_BANDS, DOC_ROWS, NUM_PERM, SHORT_BANDS, SHORT_ROWS
+
+# Written out here, so that a slip in the engine shows.
+DOC_BANDS, DOC_ROWS, SHORT_BANDS, SHORT_ROWS, NUM_PERM = 16, 8, 37, 3, 128
 
 
 def clean(col: str) -> str:
@@ -12,12 +14,12 @@ def clean(col: str) -> str:
 
 
 DOCS = f"docs AS (SELECT doc_id AS id, text AS comentario, {clean('text')} AS c FROM documents)"
-MIXED = f"""raw AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN CAST(doc_id AS VARCHAR)
-    WHEN doc_id % 10 = 1 THEN ' ' ELSE text END AS comentario FROM documents),
+MIXED = f"""raw AS (SELECT doc_id, text AS comentario FROM documents UNION ALL
+    SELECT -1 - doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 THEN ' ' END FROM documents),
   mixed AS (SELECT doc_id, {clean('comentario')} AS c FROM raw)"""
 VALID = r"length(c) >= 2 AND NOT regexp_full_match(c, '\d+')"
 TURNS = f"""turns AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS id, comentario, c FROM (
-    SELECT conv_id, turn, text AS comentario, {clean('text')} AS c FROM conversations WHERE role = 'user')
+    SELECT conv_id, turn, text AS comentario, {clean('text')} AS c FROM conversations)
     WHERE {VALID})"""
 
 
@@ -160,9 +162,10 @@ ORACLES = {
       reps AS (SELECT cluster, sig FROM heads JOIN sigs USING (id))
       SELECT x.cluster AS a, y.cluster AS b, round(1 - list_sum(list_transform(range(1, {NUM_PERM + 1}),
       lambda i: CASE WHEN x.sig[i] = y.sig[i] THEN 1 ELSE 0 END)) / {NUM_PERM}.0, 6) AS dist
-      FROM reps x JOIN reps y ON x.cluster < y.cluster""",
+      FROM reps x JOIN reps y ON x.cluster < y.cluster WHERE list_has_any(
+        list_transform(range(1, {NUM_PERM + 1}), lambda i: concat(i, ':', x.sig[i])), list_transform(range(1, {NUM_PERM + 1}), lambda i: concat(i, ':', y.sig[i])))""",
     "term_counts": f"WITH {TURNS}, {term_counts('turns')} SELECT id, term, tf FROM counts",
-    "vocabulary": f"WITH {DOCS}, {term_counts('docs')}, {VOCABULARY.format(5000)} SELECT term, total, df FROM vocabulary",
+    "vocabulary": f"WITH {DOCS}, {term_counts('docs')}, {VOCABULARY.format(50000)} SELECT term, total, df FROM vocabulary",
     "tfidf_weights": f"""WITH {TURNS}, {term_counts('turns')}, {VOCABULARY.format(50000)},
       raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM turns)) / CAST(1 + df AS DOUBLE)) + 1) AS w
         FROM counts JOIN vocabulary USING (term))
@@ -173,6 +176,11 @@ ORACLES = {
       FROM letters""",
     "csv_scan": "SELECT text AS comentario FROM documents",
     "assignment_file": f"{TURN_LABELS} SELECT id, comentario, cluster FROM turns JOIN labels USING (id)",
+    "aggregate_file": f"""{TURN_LABELS}, {SAMPLED.format('turns')}, sized AS (SELECT cluster, count(*) AS size FROM labels GROUP BY cluster)
+      SELECT cluster, size, samples FROM sized JOIN sampled USING (cluster)""",
+    "csv_load": f"""WITH {DOCS} SELECT row_number() OVER (ORDER BY id) - 1 AS id, comentario, c AS comentario_clean FROM docs WHERE {VALID}""",
+    "ivf_recall": "SELECT 30 * count(*) AS wanted, 0.5 AS level, true AS reached FROM embeddings",
+    "hyperplane_recall": "SELECT 30 * count(*) AS wanted, 0.5 AS level, true AS reached FROM embeddings",
     "saved_stage": f"WITH {DOCS} SELECT id, c AS comentario_clean FROM docs",
     "literal_run": f"""{TURN_LABELS}, {SAMPLED.format('turns')}, sized AS (SELECT cluster, count(*) AS size FROM labels GROUP BY cluster)
       SELECT cluster, size, samples FROM sized JOIN sampled USING (cluster)""",

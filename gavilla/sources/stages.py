@@ -49,10 +49,9 @@ def saved_cells(points: DataFrame, path: str, nlist: int, seed: int = 42) -> Cel
     import numpy as np
 
     spark, params = points.sparkSession, {"nlist": nlist, "seed": seed}
-    total = points.count()
 
     def centres() -> DataFrame:
-        rows = [(i, [float(x) for x in c]) for i, c in enumerate(kmeans_pivots(points, nlist, total, seed))]
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(kmeans_pivots(points, nlist, seed))]
         return spark.createDataFrame(rows, "cell int, centre array<double>")
 
     table = stage(spark, f"{path}/centres", params, points, centres).orderBy("cell").collect()

@@ -45,13 +45,12 @@ def test_estimate_is_near_the_true_jaccard(spark):
     assert np.mean(errors) < 1 / np.sqrt(128)
 
 
-@pytest.mark.parametrize("floor", [0, C.HOT_FLOOR])
-def test_components_of_chains_and_stars(spark, floor):
+def test_components_of_chains_and_stars(spark):
     edges = [(0, 1), (1, 2), (5, 9)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 240)]
-    found = C.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), floor=floor)
+    found = C.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))
     roots = {r["id"]: r["root"] for r in found.collect()}
     assert roots == {0: 0, 1: 0, 2: 0, 5: 5, 9: 5, **{i: 100 for i in range(100, 140)}, **{i: 200 for i in range(200, 241)}}
-    labels = C.label_components(spark.range(10), found.where("id < 10"), floor=floor).orderBy("id").collect()
+    labels = C.label_components(spark.range(10), found.where("id < 10")).orderBy("id").collect()
     assert [r["cluster"] for r in labels] == [0, 0, 0, -1, -1, 1, -1, -1, -1, 1]
 
 
@@ -62,10 +61,15 @@ def test_empty_input_gives_empty_frames(spark):
     assert S.run_metrics(labels).first().asDict() == {"n_texts": 0, "n_clusters": 0, "n_noise": 0, "noise_pct": None}
 
 
-def test_star_edges_do_not_depend_on_hot_split(spark):
+def test_star_edges_of_hot_buckets(spark):
+    """Three buckets of thirty, and one that holds a third of all rows."""
     df = spark.createDataFrame([(0, f"b{i % 3}", i) for i in range(90)], "band int, bucket string, id bigint")
-    plain, hot = (sorted(map(tuple, M.star_edges(df, floor=f).collect())) for f in (M.HOT_FLOOR, 0))
-    assert plain == hot == [(i, i % 3) for i in range(3, 90)]
+    assert sorted(map(tuple, M.star_edges(df).collect())) == [(i, i % 3) for i in range(3, 90)]
+    df = spark.range(6000).selectExpr("0 as band", "if(id % 3 = 0, 'hot', concat('b', id % 1500)) as bucket", "id")
+    found = {(r.id, r.hub) for r in M.star_edges(df).collect()}
+    first = {}
+    wanted = {(i, first.setdefault("hot" if i % 3 == 0 else i % 1500, i)) for i in range(6000)}
+    assert found == {(i, h) for i, h in wanted if i != h}
 
 
 def test_topk_with_a_large_group_of_copies(spark):
@@ -148,16 +152,10 @@ def check_document(lines, n):
     assert sorted(leaves(tree)) == list(range(n))
 
 
-def test_average_and_ward_linkage(spark):
+def test_ward_linkage(spark):
     n, r = 12, np.random.RandomState(0)
     x = r.normal(size=(n, 4))
-    dist = brute.pairwise(x)
-    pairs = spark.createDataFrame([(i, j, float(dist[i, j])) for i in range(n) for j in range(i + 1, n)], "a bigint, b bigint, dist double")
     clusters = spark.range(n).withColumnRenamed("id", "cluster")
-    merges, lines = H.tree_document(H.average_linkage(pairs), clusters)
-    heights = [m["distance"] for m in merges.orderBy("node_id").collect()]
-    assert np.allclose(heights, naive_linkage(n, lambda a, b: dist[np.ix_(a, b)].mean()))
-    check_document(lines, n)
     centres = vectors(spark, x).withColumnsRenamed({"id": "cluster", "vec": "centroid"})
 
     def ward(a, b):
@@ -168,9 +166,28 @@ def test_average_and_ward_linkage(spark):
         assert np.allclose([m["distance"] for m in found], naive_linkage(n, ward))
 
 
+def test_average_tree_of_sparse_signatures(spark):
+    """Every head is a leaf; heads that share no position are joined at distance 1."""
+    n, r = 30, np.random.RandomState(3)
+    sigs = 1000 * np.arange(n)[:, None] + np.arange(64)
+    for i, j in [(0, 1), (1, 2), (3, 4), (5, 6), (6, 7), (5, 8), (10, 20), (20, 21), (0, 10)]:
+        at = r.choice(64, r.randint(5, 40), replace=False)
+        sigs[j, at] = sigs[i, at]
+    dist = 1 - (sigs[:, None] == sigs[None]).mean(-1)
+    heads = spark.createDataFrame([(i, i, s.tolist()) for i, s in enumerate(sigs)], "cluster int, id bigint, sig array<bigint>")
+    pairs = H.representative_distances(heads)
+    found = {(p["a"], p["b"]): p["dist"] for p in pairs.collect()}
+    assert found == {(i, j): dist[i, j] for i in range(n) for j in range(i + 1, n) if dist[i, j] < 1}
+    merges, lines = H.tree_document(H.average_linkage(pairs, heads), heads)
+    rows = merges.orderBy("node_id").collect()
+    assert np.allclose([m["distance"] for m in rows], naive_linkage(n, lambda a, b: dist[np.ix_(a, b)].mean()))
+    assert len(rows) == n - 1 and rows[-1]["size"] == n and sorted(x for m in rows for x in (m["left_id"], m["right_id"])) == list(range(2 * n - 2))
+    check_document(lines, n)
+
+
 def test_trees_of_none_and_one(spark):
     one = spark.range(1).select(F.lit(4).alias("cluster"))
     for clusters, name in ((one, "cluster_4"), (one.where("cluster < 0"), "cluster_-1")):
-        merges, lines = H.tree_document(H.average_linkage(spark.createDataFrame([], "a bigint, b bigint, dist double")), clusters)
+        merges, lines = H.tree_document(H.average_linkage(spark.createDataFrame([], "a bigint, b bigint, dist double"), clusters), clusters)
         text = "\n".join(r["line"] for r in lines.orderBy("line_no").collect())
         assert json.loads(text) == {"name": name, "children": []} and merges.count() == 0

@@ -2,8 +2,10 @@ import glob
 import json
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from gavilla.operators import tfidf as TF
+from gavilla.operators import prepare as P, tfidf as TF
 from gavilla.plans import catalog, pipelines as R
 from gavilla.sources import files
 from gavilla.sources.stages import stage
@@ -32,8 +34,8 @@ def test_projection_matches_a_dense_decomposition(spark, sf):
 
 
 def test_both_methods_end_to_end(spark, sf, tmp_path):
-    df = catalog.user_turns(spark, sf)
-    config = R.Config(min_cluster_size=4, encoder=catalog.letter_encoder)
+    df = catalog.turns(spark, sf)
+    config = R.Config(min_cluster_size=4, encoder=catalog.letter_encoder, encoder_id="letters")
     results = R.run(df, ["conv_id", "turn"], config, str(tmp_path), text="text")
     total = catalog.short_texts(spark, sf).count()
     for name, result in results.items():
@@ -62,3 +64,59 @@ def test_stage_is_made_again_when_parameters_or_input_change(spark, tmp_path):
     assert run(3, {"k": 1}) == 3 and run(3, {"k": 1}) == 3 and len(made) == 1
     assert run(3, {"k": 2}) == 3 and len(made) == 2
     assert run(4, {"k": 2}) == 4 and len(made) == 3
+
+
+def test_changed_encoder_is_not_taken_for_the_saved_one(spark, tmp_path, monkeypatch):
+    # Only the vectors matter here.
+    monkeypatch.setattr(R.D, "density_clusters", lambda points, *_, **__: points.select("id", F.lit(-1).alias("cluster")))
+    rows = [(i, f"text {i}", f"{'ab' * (i % 5)} text {'c' * (i % 3)} {i % 7}") for i in range(40)]
+    texts = spark.createDataFrame(rows, "id bigint, comentario string, comentario_clean string")
+
+    def encoder(letters):
+        return lambda: lambda texts: np.array([[1.0 + str(t).count(c) for c in letters] for t in texts])
+
+    def vectors(name, letters):
+        config = R.Config(min_cluster_size=4, encoder=encoder(letters), encoder_id=name)
+        R.run_coseno(texts, config, checkpoints=str(tmp_path))
+        return [r["vec"] for r in spark.read.parquet(f"{tmp_path}/vectors/data").orderBy("id").collect()]
+
+    first = vectors("one", "abc")
+    assert vectors("one", "abc") == first and vectors("two", "xyz") != first
+    with pytest.raises(ValueError):
+        R.run_coseno(texts, R.Config(encoder=encoder("abc")), checkpoints=str(tmp_path))
+    with pytest.raises(ValueError):
+        R.run_coseno(texts, R.Config(encoder="no such name"))
+
+
+@pytest.mark.parametrize("neighbours", ["ivf", "hyperplane"])
+def test_approximate_neighbours_find_separate_groups(spark, neighbours):
+    rng = np.random.RandomState(5)
+    centre = rng.normal(size=(3, 8)) * 4
+    x = np.concatenate([c + rng.normal(size=(30, 8)) * 0.1 for c in centre])
+    texts = spark.createDataFrame([(i, str(i), str(i)) for i in range(90)], "id bigint, comentario string, comentario_clean string")
+    config = R.Config(min_cluster_size=10, top_k=8, neighbours=neighbours, encoder=lambda: lambda names: np.array([x[int(n)] for n in names]))
+    labels = {r["id"]: r["cluster"] for r in R.run_coseno(texts, config).labels.collect()}
+    assert [len({labels[i] for i in range(g * 30, g * 30 + 30)} - {-1}) for g in range(3)] == [1, 1, 1]
+
+
+def test_literal_tree_limit_is_reported(spark):
+    rows = [(2 * i + j, w, w) for i, w in enumerate(["the quick brown fox", "lorem ipsum dolor", "a third thing here"]) for j in range(2)]
+    texts = spark.createDataFrame(rows, "id bigint, comentario string, comentario_clean string")
+    for limit, left_out in ((None, 0), (2, 1)):
+        result = R.run_jaccard(texts, R.Config(tree_clusters=limit))
+        assert result.metrics.first()["n_left_out_of_tree"] == left_out
+        assert result.merges.count() == 2 - left_out
+
+
+def test_large_single_line_csv_uses_many_partitions(spark, tmp_path, request):
+    path = tmp_path / "big.csv"
+    path.write_text("comentario\n" + "".join(f"text number {i}\n" for i in range(40_000)), encoding="utf-8")
+    # Small as it is, the file is to be cut and dealt as a large one would be.
+    for key, value in (("adaptive.coalescePartitions.enabled", "false"), ("files.maxPartitionBytes", "64k"), ("files.openCostInBytes", "0")):
+        before = spark.conf.get(f"spark.sql.{key}")
+        request.addfinalizer(lambda key=key, before=before: spark.conf.set(f"spark.sql.{key}", before))
+        spark.conf.set(f"spark.sql.{key}", value)
+    loaded = P.load_and_clean(files.read_csv_texts(spark, str(path), multi_line=False), files.POSITION)
+    sizes = [r["count"] for r in loaded.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 20_000
+    assert [r["comentario"] for r in loaded.orderBy("id").limit(3).collect()] == [f"text number {i}" for i in range(3)]
