@@ -8,20 +8,21 @@ from gavilla.operators.keys import attach, number_rows
 from gavilla.session import materialise, release
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """The moved edges, and a table to release once they are written."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n"))
     low = materialise(low, "low")
     near = attach(both, low, ["u"], 2 * total)
-    return near.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    return near.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct(), low
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     low = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
     low = materialise(low, "low")
     near = attach(edges, low, ["u"], total)
     moved = near.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
+    return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), low
 
 
 def _is_star(edges: DataFrame) -> bool:
@@ -43,9 +44,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = materialise(start.distinct(), "edges")
     for _ in range(max_rounds):
         total = current.count()
-        wide = materialise(_large_star(current, total), "large")
-        narrow = materialise(_small_star(wide, wide.count()), "small")
-        release(current, wide)
+        moved, low = _large_star(current, total)
+        wide = materialise(moved, "large")
+        moved, lower = _small_star(wide, wide.count())
+        narrow = materialise(moved, "small")
+        release(current, wide, low, lower)
         current = narrow
         if _is_star(current):
             roots = current.select(F.col("v").alias("id")).distinct()
