@@ -71,22 +71,23 @@ def threads(parents: DataFrame) -> DataFrame:
     their root take no more part.
     """
     reach = materialise(
-        parents.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), F.col("parent").isNotNull().cast("bigint").alias("steps")),
+        parents.select(
+            "conv_id", "turn", F.coalesce("parent", "turn").alias("up"),
+            F.col("parent").isNotNull().cast("bigint").alias("steps"), F.col("parent").isNotNull().alias("open"),
+        ),
         "reach",
-    )
-    while True:
-        above = reach.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        moved = materialise(
-            reach.join(above, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t"))).select(
-                "conv_id", "turn", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")
-            ),
-            "reach",
+    )
+    while not reach.where("open").isEmpty():
+        above = reach.select(
+            F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("open").alias("still")
+        )
+        moved = reach.where("open").join(above, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t"))).select(
+            "conv_id", "turn", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open")
         )
+        farther = materialise(moved.unionByName(reach.where("NOT open")), "reach")
         release(reach)
-        reach = moved.drop("moved")
-        reach._scratch_path = moved._scratch_path
-        if moved.where("moved").isEmpty():
-            return reach.select("conv_id", "turn", F.col("up").alias("thread"), F.col("steps").alias("depth"))
+        reach = farther
+    return reach.select("conv_id", "turn", F.col("up").alias("thread"), F.col("steps").alias("depth"))
 
 
 def reply_ordered(turns: DataFrame) -> DataFrame:
