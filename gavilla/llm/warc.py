@@ -97,7 +97,7 @@ def read_seek_table(file) -> list[tuple[int, int, int]]:
 
 
 def write_bundles(pages: DataFrame, folder: str, parts: int, level: int = 3) -> DataFrame:
-    """The index of ``pages`` (page_id, url, html, refers_to), written as one bundle per partition.
+    """The index of ``pages`` (page_id, url, html), written as ``parts`` bundles dealt by page_id.
 
     A bundle is written under a name of its attempt and then moved, so a task that runs twice leaves the same bundle.
     """
@@ -124,13 +124,22 @@ def write_bundles(pages: DataFrame, folder: str, parts: int, level: int = 3) ->
                 names=["record_id", "page_id", "bundle", "frame", "place", "bytes"],
             )
 
+        marked, marks = None, {}  # the page whose marks came last, and what its payloads refer to
         for batch in batches:
-            ids, urls, _, refers = (batch.column(i) for i in range(4))
-            for page_id, url, html, refer in zip(ids.to_pylist(), urls.to_pylist(), strings(batch.column(2)), refers.to_pylist()):
+            ids, urls, _, shas, refers = (batch.column(i) for i in range(5))
+            columns = ids.to_pylist(), urls.to_pylist(), strings(batch.column(2)), shas.to_pylist(), refers.to_pylist()
+            for page_id, url, html, sha, refer in zip(*columns):
+                if sha is not None:
+                    if page_id != marked:
+                        marked, marks = page_id, {}
+                    marks[sha] = refer
+                    continue
                 if out is None:
                     files.create_dir(root, recursive=True)
                     out = files.open_output_stream(draft)
-                data = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refer)
+                payload = (html or "").encode("utf-8", "surrogatepass")
+                named = page_id is not None and page_id == marked
+                data = record(page_id, url, payload, marks.get(f"{hashlib.sha1(payload).hexdigest()}:{len(payload)}") if named else None)
                 name = "none" if page_id is None else page_id
                 index.append((f"<{RECORD_ID}{name}>", page_id, f"bundle-{part:06d}.warc.zst", len(sizes), len(held), len(data)))
                 held += data
@@ -144,8 +153,8 @@ def write_bundles(pages: DataFrame, folder: str, parts: int, level: int = 3) ->
             out.close()
             files.move(draft, path)
 
-    key = F.coalesce(F.col("page_id"), F.xxhash64("url", "html"))
-    dealt = pages.select("page_id", "url", "html", "refers_to").repartition(parts, key).sortWithinPartitions("page_id", "url")
+    dealt = with_refers(pages).repartition(parts, F.coalesce(F.col("page_id"), F.xxhash64("url", "html")))
+    dealt = dealt.sortWithinPartitions("page_id", F.col("sha").asc_nulls_last(), "url")
     return materialise(dealt.mapInArrow(write, INDEX), "warc-index")
 
 
@@ -185,10 +194,11 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
 
 def with_refers(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, refers_to): the smallest page_id with an equal payload if that is a smaller one, else null.
+    """(page_id, url, html, sha, refers_to): the pages, with sha null, and beside them marks without a payload.
 
-    Only digests are grouped and joined, never pages by payload. A page without an id refers to none and is referred to
-    by none.
+    A mark tells that the payload ``sha`` of a page is that of the smaller page ``refers_to``, the smallest that has it.
+    Marks travel to the writer with the pages, so payloads move only once; digests alone are grouped and joined. A page
+    without an id refers to none and is referred to by none.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sha = F.concat_ws(":", F.sha1(F.col("html").cast("binary")), F.octet_length("html"))
@@ -197,8 +207,10 @@ def with_refers(pages: DataFrame) -> DataFrame:
     groups = materialise(groups, "payload-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     again = attach(marks, groups, ["sha"], total, "n").where("page_id > first")
-    again = again.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("first").alias("refers_to"))
-    return rows.join(again, (F.col("page_id") == F.col("_id")) & (sha == F.col("_sha")), "left").select("page_id", "url", "html", "refers_to")
+    none = F.lit(None)
+    again = again.select("page_id", none.cast("string").alias("url"), none.cast("string").alias("html"), "sha", F.col("first").alias("refers_to"))
+    plain = rows.select("page_id", "url", "html", none.cast("string").alias("sha"), none.cast("bigint").alias("refers_to"))
+    return plain.unionByName(again)
 
 
 def archive(pages: DataFrame, folder: str | None = None, bundle_bytes: int = BUNDLE_BYTES) -> tuple[DataFrame, str]:
@@ -210,7 +222,7 @@ def archive(pages: DataFrame, folder: str | None = None, bundle_bytes: int = BUN
     folder = folder or f"{scratch_root(pages.sparkSession)}/gavilla/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder else folder.replace("file:", "", 1)
     total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
-    return write_bundles(with_refers(pages), folder, 1 + int(total) // bundle_bytes), folder
+    return write_bundles(pages, folder, 1 + int(total) // bundle_bytes), folder
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
