@@ -22,8 +22,9 @@ SLOTS = 1 << 20
 WORD = re.compile(r"\w+")
 KNOWN = 300_000  # words whose hash a worker remembers; fewer only cost time
 THRESHOLD = 0.3
-# The learners' sample: at most so many labelled rows, of texts with at most so many distinct slots (about 3,000 words).
-LIMIT, MOST_SLOTS = 30_000, 8192
+# The learners' sample: at most so many labelled rows, of texts with at most so many distinct slots (about 3,000 words),
+# and about so many slots in all for each learner, which bounds its memory.
+LIMIT, MOST_SLOTS, ALL_SLOTS = 30_000, 8192, 24_000_000
 
 
 class Words(dict):
@@ -86,7 +87,8 @@ def held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, shards: int = 2, passes: int = 2) -> DataFrame:
     """(slot, weight) learned from at most ``limit`` labelled rows of ``docs`` that are not held out.
 
-    The rows are chosen by a hash of the id and dealt to ``shards`` learners, each of which goes over its rows ``passes``
+    The rows are chosen by a hash of the id, further ones are left out if their slots are more than ``shards`` times
+    ``ALL_SLOTS``, and they are dealt to ``shards`` learners, each of which goes over its rows ``passes``
     times in the order of another hash. Labels are the only thing besides the text that a learner sees.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
@@ -115,7 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, shards: int = 2,
         at = np.flatnonzero(weights)
         return pd.DataFrame({"slot": at.astype(np.int32), "weight": weights[at]})
 
-    dealt = seen.withColumn("shard", F.pmod("spot", F.lit(shards)))
+    held = seen.agg(F.sum(F.size("slots"))).first()[0] or 0
+    share = int(min(1.0, shards * ALL_SLOTS / max(held, 1)) * (1 << 30))
+    dealt = seen.where(F.pmod(F.xxhash64("spot"), F.lit(1 << 30)) < share).withColumn("shard", F.pmod("spot", F.lit(shards)))
     learned = materialise(dealt.groupBy("shard").applyInPandas(learn, "slot int, weight double"), "toxic-shards")
     # Slot 0 comes once from each shard that has rows.
     count = learned.where("slot = 0").count()
