@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from gavilla.llm.common import free_name, per_process, strings
 
 # Entries of a memory of words or pairs; a fuller one is put aside and then dropped. Results do not depend on it.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 
 NEVER = 1 << 40
 
