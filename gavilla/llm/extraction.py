@@ -35,7 +35,7 @@ BLOCKS = set(
     "html body p div article section main ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 "
     "blockquote pre figure figcaption header footer nav aside form fieldset legend address details summary hr center".split()
 )
-# Words of class, id or role that mark furniture and reader comments.
+# Words of class, id or role that mark furniture and reader comments; all words of one name have to be here.
 NAMES = set(
     "ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup "
     "modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar "
@@ -43,6 +43,7 @@ NAMES = set(
     "reply replies respond pagination pager search complementary contentinfo alert".split()
 )
 INNER = {"article", "main"}
+WHOLE = {"html", "body"}  # elements whose names speak of the whole page
 # Start tags that end an open element of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -60,36 +61,41 @@ PART = re.compile(r"[a-z0-9]+")
 class Block:
     """One block of text with the path of its element."""
 
-    __slots__ = ("path", "text", "inner")
+    __slots__ = ("path", "text", "inner", "pieces")
 
-    def __init__(self, path, text, inner):
-        self.path, self.text, self.inner = path, text, inner
+    def __init__(self, path, inner, pieces):
+        self.path, self.text, self.inner, self.pieces = path, "", inner, pieces
 
 
 def blocks_of(html: str | None) -> tuple[list[Block], dict[str, list[str]]]:
-    """Blocks outside furniture in page order, and for each path of elements the kinds of its block children in order."""
+    """Blocks outside furniture in page order, and for each path of elements the kinds of its block children in order.
+
+    What an element's names say is settled at the end, when it is known how much of the page's text it holds.
+    """
     html = html or ""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, furniture, inside the article
+    # tag, path, furniture by tag, inside the article, numbers of the elements around that names mark
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
+    held_main: set[int] = set()  # marked elements around a main element
+    n_marks = 0
     found: list[Block] = []
     children: dict[str, list[str]] = {}
-    held: list[str] = []
+    held: list[tuple[str, tuple[int, ...]]] = []  # pieces of text, each with the marked elements around it
 
     def flush():
         if held:
-            text = " ".join(unescape("".join(held)).split())
+            if any(not piece.isspace() for piece, _ in held if piece):
+                found.append(Block(stack[-1][1], stack[-1][3], held.copy()))
             held.clear()
-            if text:
-                found.append(Block(stack[-1][1], text, stack[-1][3]))
 
     at, size = 0, len(html)
     while at < size:
         match = MARKUP.search(html, at)
         if match is None:
             if not stack[-1][2]:
-                held.append(html[at:])
+                held.append((html[at:], stack[-1][4]))
             break
         if not stack[-1][2]:  # nothing of furniture is kept
-            held.append(html[at : match.start()])
+            held.append((html[at : match.start()], stack[-1][4]))
         at = match.end()
         tag = (match[2] or "").lower()
         if not tag:
@@ -103,16 +109,20 @@ def blocks_of(html: str | None) -> tuple[list[Block], dict[str, list[str]]]:
                 flush()
             del stack[depth:]
             continue
-        words = set()
+        words, named = set(), False
         for value in NAMED.findall(match[3]) if match[3] else ():
-            words.update(PART.findall("".join(value).lower()))
-        _, path, furniture, inner = stack[-1]
-        mark = tag in FURNITURE or bool(words & NAMES) or (tag == "header" and not inner)
+            for name in "".join(value).lower().split():
+                parts = PART.findall(name)
+                words.update(parts)
+                named = named or (not NAMES.isdisjoint(parts) and all(w in NAMES or w.isdigit() for w in parts))
+        named = named and tag not in WHOLE
+        _, path, furniture, inner, marks = stack[-1]
+        mark = tag in FURNITURE or (tag == "header" and not inner)
         if block:
             flush()
         if tag in VOID:
             if tag == "br":
-                held.append(" ")
+                held.append((" ", ()))
             continue
         if block:
             # What this start tag ends: an open paragraph, or an element of the same list or table.
@@ -123,20 +133,47 @@ def blocks_of(html: str | None) -> tuple[list[Block], dict[str, list[str]]]:
                     break
                 if name in ends or name == "p":
                     del stack[k:]
-            _, path, furniture, inner = stack[-1]
-        if block or mark:
+            _, path, furniture, inner, marks = stack[-1]
+        if block or mark or named:
             kind = tag + "".join(sorted("." + w for w in words if not w.isdigit()))[:60]
             siblings = children.setdefault(path, [])
             if not siblings or siblings[-1] != kind:
                 siblings.append(kind)
             path = f"{path}>{kind}" if path else kind
-        mark = mark and not (tag in INNER and not words & NAMES)
-        stack.append((tag, path, furniture or mark, inner or (tag in INNER and not furniture)))
+        if named:
+            n_marks += 1
+            marks = (*marks, n_marks)
+        if tag == "main":
+            held_main.update(marks)
+        stack.append((tag, path, furniture or mark, inner or (tag in INNER and not furniture), marks))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
             at = end.start() if end else size
     flush()
-    return found, children
+    return _unmarked(found, held_main), children
+
+
+def _unmarked(found: list[Block], held_main: set[int]) -> list[Block]:
+    """The blocks outside elements whose names mark furniture.
+
+    Names do not count where the element holds the page's main, or most of the text of a page without an article elsewhere.
+    """
+    free = set(held_main)
+    sizes: dict[int, int] = {}
+    total, article = 0, False
+    for b in found:
+        for piece, marks in b.pieces:
+            size = len(piece.strip())
+            total += size
+            article = article or (size > 0 and b.inner and free.issuperset(marks))
+            for mark in marks:
+                sizes[mark] = sizes.get(mark, 0) + size
+    if not article:
+        free.update(mark for mark, size in sizes.items() if 2 * size > total)
+    for b in found:
+        b.text = " ".join(unescape("".join(piece for piece, marks in b.pieces if free.issuperset(marks))).split())
+        b.pieces = ()
+    return [b for b in found if b.text]
 
 
 def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:

@@ -293,6 +293,20 @@ def test_main_text_of_broken_and_rich_pages():
     assert extraction.main_text("a &lt;b&gt; &#x41;") == "a <b> A"
 
 
+def test_names_of_wrappers_do_not_empty_a_page():
+    inside = "<h1>T</h1><p>one two three</p><div class=comments><p>nice</p></div>"
+    for page in (
+        f"<body class='has-sidebar'><article>{inside}</article></body>", f"<html class='nav-closed'><body class=sidebar><main>{inside}</main>",
+        f"<div id='content-with-sidebar'><article>{inside}</article></div>", f"<article class='post comments-open'>{inside}</article>",
+        f"<main class='search-results'>{inside}</main>", f"<main class='search'>{inside}</main>", f"<div class=widget>{inside}</div><p>end</p>",
+        f"<div class='sidebar'><p>side</p></div><div class=widget><article>{inside}</article></div>",
+    ):
+        assert extraction.main_text(page).replace("\nend", "") == "T\none two three"
+    long = "<p>said by a reader</p>" * 50
+    for mark in ("class='ad-1'", "id=cookie-notice", "role=navigation", "class='x sidebar'"):
+        assert extraction.main_text(f"<div {mark}>{long}</div><article>{inside}</article>") == "T\none two three"
+
+
 def test_style_trees_remove_what_a_site_repeats(spark):
     rng = random.Random(6)
     say = lambda: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(12))
