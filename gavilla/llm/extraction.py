@@ -4,7 +4,8 @@ The pages of a host are merged into one tree whose nodes are element paths. A no
 entropy of the ways its children are laid out over pages; its content importance falls with the entropy of its texts over
 pages, that is, with how many pages share them. Branches that hold no important node are removed from each page. Where
 a host has few pages, the tree of all hosts speaks with it. HTML's own sectioning says some things outright: navigation,
-headers, footers, asides, forms and the like are never main text, and a page that marks its article has its text there.
+headers, footers, asides, forms and the like are never main text. An article is a prior: nodes inside it start as
+important, those outside it, on a page that has one, as unimportant, and the host's pages can outweigh both.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from gavilla.session import materialise
 
 LOW = 0.35  # branches of lower importance go
 BACKGROUND = 5.0  # weight of the tree of all hosts, in pages
+PRIOR = 5.0  # weight of what a page's article says of a node inside or outside it, in pages
 PLAIN_PAGES = 3  # a node on fewer pages of all hosts together is not judged
+BROADCAST_CHARS = 16_000_000  # paths of verdicts that are broadcast by host; more are joined page by page,
+HOST_ROWS = 1_000  # as are those of a host with more verdicts
 
 # Elements that hold no main text.
 FURNITURE = set(
@@ -176,19 +180,29 @@ def _unmarked(found: list[Block], held_main: set[int]) -> list[Block]:
     return [b for b in found if b.text]
 
 
-def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The blocks outside furniture that lie in no branch of ``low``, one per line.
+# Where a block stands: inside an article, outside it on a page that has one, or on a page without one.
+INSIDE, OUTSIDE, NEITHER = "+", "-", ""
 
-    If the page marks an article (or main) with text in it, only blocks inside it count.
+
+def placed(kept: list[Block]) -> list[tuple[str, Block]]:
+    """The blocks of a page, each with its place."""
+    outer = OUTSIDE if any(b.inner for b in kept) else NEITHER
+    return [(INSIDE if b.inner else outer, b) for b in kept]
+
+
+def main_text(html: str | None, judged: frozenset[str] | set[str] = frozenset()) -> str:
+    """The blocks outside furniture that the verdicts leave, one per line.
+
+    ``judged`` holds branches with their place before them: low ones, which go, and for blocks outside the article the
+    important paths, which stay.
     """
     kept, _ = blocks_of(html)
-    if any(b.inner for b in kept):
-        kept = [b for b in kept if b.inner]
-    return "\n".join(b.text for b in kept if b.inner or not _under(b.path, low))
+    stays = lambda place, b: place + b.path in judged if place == OUTSIDE else not _under(place, b.path, judged)
+    return "\n".join(b.text for place, b in placed(kept) if stays(place, b))
 
 
-def _under(path: str, low) -> bool:
-    return bool(low) and any(branch in low for branch in _branches(path))
+def _under(place: str, path: str, low) -> bool:
+    return bool(low) and any(place + branch in low for branch in _branches(path))
 
 
 def _branches(path: str) -> list[str]:
@@ -203,14 +217,11 @@ def _branches_column() -> F.Column:
 
 # -- style trees -----------------------------------------------------------------------------------
 
-NODES = "array<struct<path: string, style: bigint, texts: array<bigint>>>"
+NODES = "array<struct<place: string, path: string, style: bigint, texts: array<bigint>>>"
 
 
 def with_nodes(pages: DataFrame, out: str) -> DataFrame:
-    """``pages`` with ``out``: for each path of the page a hash of its layout and the hashes of its texts.
-
-    Paths of furniture and inside an article need no judgement and are left out.
-    """
+    """``pages`` with ``out``: for each path of the page outside furniture its place, a hash of its layout and the hashes of its texts."""
     import xxhash
 
     number = lambda text: int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).astype(np.int64))
@@ -220,12 +231,16 @@ def with_nodes(pages: DataFrame, out: str) -> DataFrame:
         rows = []
         for html in strings(column):
             kept, children = blocks_of(html)
-            texts: dict[str, set[int]] = {}
-            if not any(b.inner for b in kept):
-                for b in kept:
-                    texts.setdefault(b.path, set()).add(number(b.text))
-            rows.append([{"path": p, "style": number("|".join(children.get(p, []))), "texts": sorted(t)} for p, t in sorted(texts.items())])
-        kind = pa.struct([("path", pa.string()), ("style", pa.int64()), ("texts", pa.list_(pa.int64()))])
+            texts: dict[tuple[str, str], set[int]] = {}
+            for place, b in placed(kept):
+                texts.setdefault((place, b.path), set()).add(number(b.text))
+            rows.append(
+                [
+                    {"place": at, "path": p, "style": number("|".join(children.get(p, []))), "texts": sorted(t)}
+                    for (at, p), t in sorted(texts.items())
+                ]
+            )
+        kind = pa.struct([("place", pa.string()), ("path", pa.string()), ("style", pa.int64()), ("texts", pa.list_(pa.int64()))])
         return pa.array(rows, pa.list_(kind))
 
     return pages.withColumn(out, of(F.col("html").cast("string")))
@@ -252,45 +267,64 @@ def importance(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*group, "pages", own.alias("own"))
 
 
-def low_branches(nodes: DataFrame) -> DataFrame:
-    """(host, path, n) of the branches to remove: those in which no node has an importance of LOW or more."""
+def verdicts(nodes: DataFrame) -> DataFrame:
+    """(host, place, path) of the branches that decide: the low ones, in which no node has an importance of LOW or more.
+
+    Of places outside the article of a page the others are given instead, since there a branch that is not judged goes.
+    """
     by_host = materialise(importance(nodes, ["host"]), "host-tree")
     overall = importance(nodes, []).select("path", F.col("own").alias("overall"), F.col("pages").alias("everywhere"))
     both = by_host.join(overall, "path").where(F.col("everywhere") >= PLAIN_PAGES)
-    mixed = (F.col("own") * F.col("pages") + F.col("overall") * BACKGROUND) / (F.col("pages") + BACKGROUND)
-    above = both.select("host", "pages", mixed.alias("mixed"), F.explode(_branches_column()).alias("path"))
-    most = above.groupBy("host", "path").agg(F.max("mixed").alias("most"), F.max("pages").alias("n"))
-    return most.where(F.col("most") < LOW).select("host", "path", "n")
+    both = both.join(nodes.select("host", "path", "place").distinct(), ["host", "path"])
+    known = F.when(F.col("place") == NEITHER, F.lit(0.0)).otherwise(F.lit(PRIOR))
+    said = F.when(F.col("place") == INSIDE, F.lit(PRIOR)).otherwise(F.lit(0.0))
+    mixed = (F.col("own") * F.col("pages") + F.col("overall") * BACKGROUND + said) / (F.col("pages") + BACKGROUND + known)
+    above = both.select("host", "place", mixed.alias("mixed"), F.explode(_branches_column()).alias("path"))
+    most = above.groupBy("host", "place", "path").agg(F.max("mixed").alias("most"))
+    return most.where((F.col("most") < LOW) != (F.col("place") == OUTSIDE)).select("host", "place", "path")
 
 
 def extract(pages: DataFrame, out: str = "text") -> DataFrame:
     """``pages`` (url, html, ...) with ``out``, the main text of each.
 
-    A first pass writes the nodes of pages that mark no article; the host's tree is worked out from counts; and each
-    page, joined with the low branches of its own nodes, is rendered in a second pass. Null and empty pages have an empty
-    text. Rows that repeat get the same text; a page without a url belongs to a host of its own, the empty one.
+    A first pass writes the nodes of all pages; the host's tree is worked out from counts; and each page, joined with the
+    verdicts of its host (by broadcast) or, where these are many, of its own nodes, is rendered in a second pass. Null and
+    empty pages have an empty text. Rows that repeat get the same text, and a host's equal pages count once in its tree; a
+    page without a url belongs to a host of its own, the empty one.
     """
-    key, low = free_name(pages, "_page"), free_name(pages, "_low")
-    marked = pages.withColumn(key, F.xxhash64(F.col("url"), F.col("html")))
+    key, site, judged = free_name(pages, "_page"), free_name(pages, "_host"), free_name(pages, "_judged")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1), F.lit("")))
-    nodes = with_nodes(marked.select(F.col(key).alias("page"), host.alias("host"), "html"), "nodes")
+    marked = pages.withColumn(site, host).withColumn(key, F.xxhash64(F.col(site), F.col("html")))
+    nodes = with_nodes(marked.select(F.col(key).alias("page"), F.col(site).alias("host"), "html"), "nodes")
     nodes = nodes.where(F.size("nodes") > 0).select("page", "host", F.inline("nodes"))
     nodes = materialise(nodes.distinct(), "page-nodes")  # copies of a page count once
-    gone = materialise(low_branches(nodes), "low-branches")
-    paths = nodes.select("host", "path").distinct().select("host", "path", F.explode(_branches_column()).alias("branch"))
-    hit = paths.join(gone.select("host", F.col("path").alias("branch")), ["host", "branch"]).groupBy("host", "path").agg(F.collect_set("branch").alias("gone"))
-    sizes = nodes.groupBy("host", "path").agg(F.count("*").alias("n"))
-    hit = materialise(hit.join(sizes, ["host", "path"]), "low-paths")
-    total = hit.agg(F.sum("n")).first()[0] or 0
-    of_page = attach(nodes.select("page", "host", "path"), hit, ["host", "path"], total, "n").groupBy("page")
-    of_page = of_page.agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias(low)).withColumnRenamed("page", key)
+    decided = materialise(verdicts(nodes), "verdicts")
+    sizes = decided.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length("path") + F.length("host")).alias("chars"))
+    most, chars = sizes.agg(F.max("n"), F.sum("chars")).first()
+    if (most or 0) <= HOST_ROWS and (chars or 0) <= BROADCAST_CHARS:
+        of_host = decided.groupBy("host").agg(F.collect_set(F.concat("place", "path")).alias(judged)).withColumnRenamed("host", site)
+        joined = marked.join(F.broadcast(of_host), site, "left")
+    else:
+        joined = marked.join(_of_page(nodes, decided, judged).withColumnRenamed("page", key), key, "left")
 
     @F.arrow_udf("string")
-    def text_of(html: pa.Array, gone: pa.Array) -> pa.Array:
-        return pa.array([main_text(h, set(g or ())) for h, g in zip(strings(html), gone.to_pylist())], pa.string())
+    def text_of(html: pa.Array, judged: pa.Array) -> pa.Array:
+        return pa.array([main_text(h, set(g or ())) for h, g in zip(strings(html), judged.to_pylist())], pa.string())
 
-    joined = marked.join(of_page, key, "left")
-    return joined.withColumn(out, text_of(F.col("html").cast("string"), F.col(low))).drop(key, low)
+    return joined.withColumn(out, text_of(F.col("html").cast("string"), F.col(judged))).drop(key, site, judged)
+
+
+def _of_page(nodes: DataFrame, decided: DataFrame, out: str) -> DataFrame:
+    """(page, out) with the verdicts that each page's own nodes meet."""
+    paths = nodes.select("host", "place", "path").distinct()
+    paths = paths.select("host", "place", "path", F.explode(_branches_column()).alias("branch"))
+    hit = paths.join(decided.withColumnRenamed("path", "branch"), ["host", "place", "branch"]).groupBy("host", "place", "path")
+    hit = hit.agg(F.collect_set(F.concat("place", "branch")).alias("gone"))
+    sizes = nodes.groupBy("host", "place", "path").agg(F.count("*").alias("n"))
+    hit = materialise(hit.join(sizes, ["host", "place", "path"]), "low-paths")
+    total = hit.agg(F.sum("n")).first()[0] or 0
+    of_page = attach(nodes.select("page", "host", "place", "path"), hit, ["host", "place", "path"], total, "n").groupBy("page")
+    return of_page.agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias(out))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -324,6 +324,26 @@ def test_style_trees_remove_what_a_site_repeats(spark):
     assert extraction.page_texts(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chars", [extraction.BROADCAST_CHARS, 0])
+def test_style_trees_judge_inside_and_outside_articles(spark, monkeypatch, chars):
+    """What a site repeats inside its articles goes; main text in a div stays where teasers are the articles."""
+    monkeypatch.setattr(extraction, "BROADCAST_CHARS", chars)
+    rng = random.Random(7)
+    say = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12))
+    frame, wanted = [], {}
+    for i in range(40):
+        text = say()
+        wanted[i] = text
+        frame.append((i, f"http://news.example/{i}", f"<body><div class=y>Follow us</div><article><p>{text}</p><div class=z1><p>Join our list</p></div></article></body>"))
+        wanted[100 + i] = text
+        teasers = "<div class=t><article><p>Read this too</p></article><article><p>And this</p></article></div>"
+        frame.append((100 + i, f"http://shop.example/{i}", f"<body><div class=m><p>{text}</p></div>{teasers}</body>"))
+        wanted[200 + i] = "always said"  # one page under many addresses is not boilerplate
+        frame.append((200 + i, f"http://copy.example/{i}", "<body><article><p>always said</p></article></body>"))
+    found = extraction.page_texts(pages_frame(spark, frame)).collect()
+    assert {r.page_id: r.text for r in found} == wanted
+
+
 # -- chat -----------------------------------------------------------------------------------------------
 
 TURNS = [
