@@ -22,15 +22,15 @@ LOWER = {c: c + 32 for c in range(65, 91)}  # A-Z only
 # The base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# For each licence its label, the keyword that every mention holds, and a pattern of its name
-# (of lower-case text; white space stands for any run of blanks).
+# For each licence its label, the keyword of which every mention holds one (several are divided by |), and a
+# pattern of its name (of lower-case text; white space stands for any run of blanks, also in keywords).
 NAMES = [
     ("apache-2.0", "apache", r"apache(?: software)? licen[cs]e,? (?:version |v)?2(?:\.0)?|apache[- ]2(?:\.0)?"),
     ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e,? (?:version |v)?1\.1|apache-1\.1"),
     ("apache-1.0", "apache", r"apache(?: software)? licen[cs]e,? (?:version |v)?1\.0|apache-1\.0"),
     ("mit", "mit", r"mit(?:/x11| expat)? licen[cs]e|mit-licen[cs]ed?"),
     ("mit-0", "mit", r"mit no attribution|mit-0"),
-    ("x11", "x11", r"x11 licen[cs]e|x consortium licen[cs]e"),
+    ("x11", "x11|x consortium", r"x11 licen[cs]e|x consortium licen[cs]e"),
     ("bsd-2-clause", "bsd", r"(?:simplified|2-clause|two-clause|freebsd) bsd(?: licen[cs]e)?|bsd 2-clause|bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3-clause|three-clause) bsd(?: licen[cs]e)?|bsd 3-clause|bsd-3-clause"),
     ("bsd-4-clause", "bsd", r"(?:original|4-clause|four-clause) bsd(?: licen[cs]e)?|bsd-4-clause"),
@@ -65,7 +65,7 @@ NAMES = [
     ("isc", "isc", r"isc licen[cs]e"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[cs]e"),
     ("unlicense", "unlicense", r"the unlicense|unlicense\.org"),
-    ("wtfpl", "wtf", r"wtfpl|do what the f\S+ you want to public licen[cs]e"),
+    ("wtfpl", "wtfpl|do what the f", r"wtfpl|do what the f\S+ you want to public licen[cs]e"),
     ("bsl-1.0", "boost", r"boost software licen[cs]e"),
     ("busl-1.1", "business source", r"business source licen[cs]e"),
     ("sspl-1.0", "server side", r"server side public licen[cs]e"),
@@ -82,7 +82,7 @@ NAMES = [
     ("postgresql", "postgresql", r"postgresql licen[cs]e"),
     ("afl-3.0", "academic", r"academic free licen[cs]e"),
     ("osl-3.0", "open software", r"open software licen[cs]e"),
-    ("odbl-1.0", "database", r"open database licen[cs]e|odbl"),
+    ("odbl-1.0", "open database|odbl", r"open database licen[cs]e|odbl"),
     ("odc-by-1.0", "commons attribution", r"open data commons attribution licen[cs]e"),
     ("pddl-1.0", "public domain dedication", r"public domain dedication and licen[cs]e"),
     ("cc0-1.0", "cc0", r"cc0(?:[- ]1\.0)?(?: universal)?"),
@@ -142,19 +142,25 @@ class Scanner:
         self.gates = ahocorasick.Automaton()
         by_keyword: dict[str, list[int]] = {}
         for k, rule in enumerate(self.rules):
-            by_keyword.setdefault(rule.keyword, []).append(k)
+            for keyword in rule.keyword.split("|"):
+                by_keyword.setdefault(keyword, []).append(k)
         for keyword, ranks in by_keyword.items():
-            self.gates.add_word(keyword, ranks)
+            self.gates.add_word(keyword, (keyword, ranks))
         self.gates.make_automaton()
 
+    def ready(self, lowered: str) -> set[int]:
+        """The rules of which a keyword is in the text, each run of white space read as one blank."""
+        met, found = set(), set()
+        for _, (keyword, ranks) in self.gates.iter(" ".join(lowered.split())):
+            if keyword not in met:
+                met.add(keyword)
+                found.update(ranks)
+        return found
+
     def detect(self, lowered: str) -> list[tuple[int, int, str, float]]:
         """(start, end, label, score) of the detections that stay, by place."""
-        ready = set()
-        for _, ranks in self.gates.iter(lowered):
-            if ranks[0] not in ready:
-                ready.update(ranks)
         spans = []
-        for k in ready:
+        for k in self.ready(lowered):
             rule = self.rules[k]
             spans += [(k, m.start(), m.end()) for m in rule.pattern.finditer(lowered)]
         # A span stays if none that ranks before it holds it. Spans are met by rank; those kept are searched by place.

@@ -179,6 +179,47 @@ def test_licence_rules():
         assert not any((c, d) != (a, b) and c <= a and b <= d and t >= s for c, d, _, t in found)
 
 
+def spelled(parts, rng):
+    """A random text that a parsed pattern matches, its blanks as line breaks."""
+    text = ""
+    for kind, value in parts:
+        kind = str(kind)
+        if kind == "LITERAL":
+            text += chr(value)
+        elif kind == "IN":
+            name, chosen = rng.choice(value)
+            text += chr(chosen) if str(name) == "LITERAL" else {"CATEGORY_SPACE": "\n", "CATEGORY_DIGIT": "4"}.get(str(chosen), "x")
+        elif kind == "BRANCH":
+            text += spelled(rng.choice(value[1]), rng)
+        elif kind == "SUBPATTERN":
+            text += spelled(value[-1], rng)
+        elif kind == "MAX_REPEAT":
+            text += "".join(spelled(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 1))))
+        else:
+            assert kind == "ASSERT_NOT"
+    return text
+
+
+def test_licence_gates_lose_nothing():
+    """Every rule's spellings, wrapped at each blank, open their own gate; wrapped mentions are found."""
+    import random
+
+    rng = random.Random(3)
+    scanner = licences.Scanner()
+    for k, rule in enumerate(scanner.rules):
+        parsed = re._parser.parse(rule.pattern.pattern)
+        for _ in range(30):
+            text = spelled(parsed, rng)
+            assert rule.pattern.search(text), (rule, text)
+            assert k in scanner.ready(f"as is.\n {text} "), (rule, text)
+    labels = lambda text: [label for *_, label, _ in scanner.detect(text.lower())]
+    assert labels("the GNU General\nPublic License version 3") == ["gpl-3.0"]
+    assert labels("all\nrights  reserved") == ["all-rights-reserved"]
+    assert labels("licensed under ODbL") == ["odbl-1.0"]
+    assert labels("the X Consortium\n * License".replace(" *", "")) == ["x11"]
+    assert labels("Do What The Fun You Want To Public License") == ["wtfpl"]
+
+
 def test_licences_on_awkward_rows(spark):
     docs = documents(spark)
     rows = licences.licence_labels(docs).collect()
