@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates: DataFrame functions only.
 
 Numbers, units and names become typed placeholders, so a question keeps its template when its parameters are changed.
-Windows of template tokens are hash-joined with those of the benchmark. A match whose windows hold placeholders counts
-only if the slots are consistent: along one alignment, equal values stand for equal values and different for different.
+Windows of template tokens are hash-joined with those of the benchmark. Windows without placeholders always count; those
+with them count only if the slots are consistent: along one alignment, equal values stand for equal values and different
+for different.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ def marked(text: Column) -> Column:
     """The text in lower case with \\x01n before numbers, \\x01u before their units and \\x01p before names.
 
     A name is a capitalised word after a space that follows a letter, digit, comma or the like, so that it does not start
-    a sentence or line.
+    a sentence. White space is folded first, so a text that is wrapped otherwise has the same names.
     """
     t = F.coalesce(text.cast("string"), F.lit(""))
     t = F.when(t.rlike("[\x01-\x03]"), F.translate(t, "\x01\x02\x03", "   ")).otherwise(t)
+    t = F.when(t.rlike(r"[\t-\r]|  "), F.regexp_replace(t, r"[\t-\r ]+", " ")).otherwise(t)
     joined = F.regexp_replace(F.regexp_replace(t, r"([0-9])[.,]([0-9])", "$1\x03$2"), r"([0-9])[.,]([0-9])", "$1\x03$2")
     number = r"([0-9][0-9\x{03}]*)(?: ?((?i)" + UNITS + r")([^\p{L}\p{N}\x{03}]|$))?"
     numbers = F.regexp_replace(joined, number, " \x01n$1 \x01u$2 $3")
@@ -88,8 +90,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, coverage, changed) of documents that hold a benchmark passage.
 
-    ``coverage`` is the share of the item's windows found in the whole text along alignments with consistent slots, at
-    least ``COVERAGE``; ``changed`` tells whether a slot holds another value than the item's. Null and empty texts and
+    ``coverage`` is the share of the item's windows found in the whole text, those with slots along consistent alignments, at
+    least ``COVERAGE``; ``changed`` tells whether a counted slot holds another value than the item's. Null and empty texts and
     items of fewer than ``LEAST_ITEM`` tokens match nothing, nor do rows without an id; repeated rows count once. Windows
     are joined by hash: the benchmark's by broadcast up to ``BROADCAST_ROWS`` rows, else by a shuffle.
     """
@@ -109,10 +111,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
     found = materialise(found, "window-matches").withColumn("shift", F.col("place") - F.col("at"))
     lines = found.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("at").alias("at"), F.max("n_windows").alias("n_windows"), F.max("size").alias("size"), F.max("slots").alias("slots")
+        F.collect_set("at").alias("at"), F.max("n_windows").alias("n_windows"), F.max("size").alias("size"), F.max("slots").alias("slots"),
+        F.collect_set(F.when(~F.col("slots"), F.col("at"))).alias("literal"),
     )
     lines = materialise(lines, "alignments")
-    checked = lines.where("NOT slots").select("doc_id", "item_id", "at", "n_windows", F.lit(False).alias("changed"))
+    checked = lines.where(F.size("literal") > 0).select("doc_id", "item_id", F.col("literal").alias("at"), "n_windows", F.lit(False).alias("changed"))
     checked = checked.unionByName(_consistent(lines.where("slots"), docs, benchmark))
     total = checked.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("n_matched"),

@@ -139,6 +139,16 @@ def test_templates(spark):
     assert decontaminate.matches(docs, items.limit(0)).count() == 0
 
 
+def test_wrapped_and_partly_changed_passages(spark):
+    """Line breaks before names change nothing, and windows without slots count though the slots contradict each other."""
+    words = "the water of the long river ran down to the old mill where people came with wheat in spring and waited for flour"
+    passage = f"There were 40 sacks and again 40 sacks; {words}"
+    items = spark.createDataFrame([(1, passage), (2, QUESTION)], "item_id bigint, text string")
+    docs = documents(spark, [(1, passage.replace("again 40", "again 41")), (2, QUESTION.replace(" Alice", "\nAlice").replace(" Bob", "  \r\n Bob"))])
+    found = {(r.doc_id, r.item_id): r.changed for r in decontaminate.matches(docs, items).collect()}
+    assert found == {(1, 1): False, (2, 2): False}
+
+
 def test_large_benchmark_is_joined_by_shuffle(spark, sf, monkeypatch):
     wanted = catalog.op2_benchmark_decontamination(spark, sf).toPandas()
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
