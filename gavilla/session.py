@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +54,30 @@ def materialise(df: DataFrame, tag: str = "step") -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
+    for made in getattr(_scopes, "open", [])[-1:]:
+        made.append(table)
     return table
 
 
+_scopes = threading.local()
+
+
+def settle(build: Callable[[], DataFrame], tag: str = "step") -> DataFrame:
+    """``materialise`` of what ``build`` returns; every table that it wrote on the way is then deleted."""
+    scopes = _scopes.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        made = scopes[-1]
+        result = materialise(build(), tag)
+        made.remove(result)
+    finally:
+        left = scopes.pop()
+        release(*left)
+    for outer in scopes[-1:]:
+        outer.append(result)
+    return result
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables written by ``materialise`` once a later table has replaced them."""
     for table in tables:
