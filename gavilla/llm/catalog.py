@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gavilla.llm import chat, decontaminate, extraction, licences, quality, simhash, tokens, toxicity, urls, warc
+from gavilla.llm import (
+    chat, decontaminate, extraction, language, licences, quality, simhash, tokens, toxicity, trie, urls, warc, whitening,
+)
 from gavilla.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -53,9 +55,22 @@ def op10_warc_bundles(spark, sf):
     return warc.round_trip(table(spark, sf, "pages"))
 
 
+def op11_embedding_whitening(spark, sf):
+    return whitening.whitened_rows(table(spark, sf, "embeddings"))
+
+
+def op12_language_id(spark, sf):
+    return language.identify(table(spark, sf, "documents"))
+
+
+def op13_prefix_trie(spark, sf):
+    return trie.prefix_trie(table(spark, sf, "conversations"))
+
+
 QUERIES = [
     op1_quality_rules, op2_benchmark_decontamination, op3_html_extraction, op4_byte_bpe, op5_chat_quotations,
     op6_simhash_near_dedup, op7_url_filter, op8_license_scan, op9_toxicity, op10_warc_bundles,
+    op11_embedding_whitening, op12_language_id, op13_prefix_trie,
 ]
 
 

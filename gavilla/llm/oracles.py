@@ -130,7 +130,53 @@ SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS coverage,
 JOIN total USING (item_id) WHERE n_matched / n_windows >= 0.3
 """
 
-ORACLES: dict[str, str] = {"op2_benchmark_decontamination": LEAKS, "op5_chat_quotations": CHAT, "op10_warc_bundles": WARC}
+# CRC-32 bit by bit: each byte comes in at the first of its eight steps.
+CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(8 * len({0})), lambda i:
+  CASE WHEN i % 8 = 0 THEN CAST(ascii(substr({0}, CAST(i // 8 AS INTEGER) + 1, 1)) AS BIGINT) ELSE 0 END)),
+  lambda s, c: xor(xor(s, c) >> 1, 3988292384 * (xor(s, c) & 1))), 4294967295)"""
+
+TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, sha256(length(r) || ':' || r || t) AS said, length(t) AS n_chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || t)) - 1 AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)
+),
+own AS (SELECT conv_id, conv_id - conv_id % 100 AS base, count(*) AS n, {CRC.format("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM turns GROUP BY conv_id),
+lent AS (SELECT o.*, least(o.h, coalesce(b.n, 0)) AS lent FROM own o LEFT JOIN own b ON b.conv_id = o.base),
+rebuilt AS (
+  SELECT l.conv_id, t.i AS place, said, n_chars FROM lent l JOIN turns t ON t.conv_id = l.base AND t.i < l.lent
+  UNION ALL
+  SELECT l.conv_id, t.i - h + lent, said, n_chars FROM lent l JOIN turns t ON t.conv_id = l.conv_id AND t.i >= h
+),
+member AS (
+  SELECT conv_id, place + 1 AS depth, n_chars, max(place + 1) OVER (PARTITION BY conv_id) AS turns,
+    string_agg(said, ' ') OVER (PARTITION BY conv_id ORDER BY place) AS prefix FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, coalesce((SELECT max(place + 1) FROM rebuilt r WHERE r.conv_id = own.conv_id), 0), '' FROM own
+),
+node AS (
+  SELECT depth, sha256(prefix) AS key, min(conv_id) AS conv_id, count(*) AS n_convs, min(n_chars) AS n_chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE turns = depth), '')) AS ends_sha256
+  FROM member GROUP BY ALL
+),
+-- Each node meets the nodes above it, and itself, along the way of its smallest member.
+up AS (
+  SELECT n.depth, n.key, a.depth AS above_depth, sha256(a.prefix) AS above_key FROM node n
+  JOIN member a ON a.conv_id = n.conv_id AND a.depth <= n.depth
+),
+kids AS (SELECT above_depth AS depth, above_key AS key, count(*) AS n_children FROM up WHERE above_depth = depth - 1 GROUP BY ALL),
+totals AS (
+  SELECT above_depth AS depth, above_key AS key, count(*) FILTER (WHERE coalesce(n_children, 0) = 0) AS n_leaves,
+    CAST(sum((n_convs - 1) * n_chars) AS BIGINT) AS saved_tokens
+  FROM up JOIN node USING (depth, key) LEFT JOIN kids USING (depth, key) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM node n JOIN totals USING (depth, key) LEFT JOIN kids USING (depth, key)
+LEFT JOIN up u ON u.depth = n.depth AND u.key = n.key AND u.above_depth = n.depth - 1
+LEFT JOIN node p ON p.depth = u.above_depth AND p.key = u.above_key
+"""
+
+ORACLES: dict[str, str] = {"op2_benchmark_decontamination": LEAKS, "op5_chat_quotations": CHAT, "op10_warc_bundles": WARC, "op13_prefix_trie": TRIE}
 
 
 def oracle_sql() -> dict[str, str]:
