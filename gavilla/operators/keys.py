@@ -8,6 +8,8 @@ from gavilla.session import materialise
 
 # A group above total / HOT_SLOTS rows is joined by broadcast; there are fewer than HOT_SLOTS such groups.
 HOT_SLOTS = 2000
+# So many rows are a light task, whatever their keys.
+PLAIN = 100_000
 
 
 def number_rows(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
@@ -60,6 +62,17 @@ def attach(
     return tagged.where(F.col("_hot")).select(*columns).unionByName(rest.select(*columns))
 
 
+def look_up(members: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Each of ``total`` members with the one row of ``table`` for its ``key``, which any number of members may share.
+
+    ``members`` must be cheap to read twice. Up to PLAIN of them a key cannot be large, and the join is left to Spark.
+    """
+    if total <= PLAIN:
+        return members.join(table, key, how)
+    sizes = members.groupBy(key).agg(F.count("*").alias("n"))
+    return attach(members, materialise(table.join(sizes, key), "lookup"), [key], total, how=how)
+
+
 def collapse_copies(df: DataFrame, key: Column, total: int | None = None) -> DataFrame:
     """(id, rep): rep is the smallest id among the rows with an equal ``key`` expression."""
     keyed = materialise(df.select("id", key.alias("_key")), "copykeys")
