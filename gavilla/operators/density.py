@@ -7,21 +7,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gavilla.operators import neighbours as N
-from gavilla.operators.components import connected_components
-from gavilla.operators.keys import attach, number_rows
-from gavilla.session import materialise, release
+from gavilla.operators.keys import PLAIN, attach, look_up, number_rows
+from gavilla.operators.merge_tree import climb, merge_tree
+from gavilla.operators.scans import scan
+from gavilla.session import materialise, release, settle
 
 # Neighbours of the core distance, least cluster size.
 MIN_SAMPLES = 5
 MIN_CLUSTER_SIZE = 20
 # Shortest distance told apart from zero; it keeps 1 / distance finite for copies.
 TINY = 1e-10
-# Edges of one local piece of the hierarchy.
-PIECE = 200_000
+# Stands for "in no chosen cluster".
+NONE = -(1 << 63)
 
 
 def vector_knn(points: DataFrame, k: int) -> DataFrame:
@@ -65,88 +65,94 @@ def mutual_reachability(knn: DataFrame, core: DataFrame) -> DataFrame:
 # -- spanning tree -------------------------------------------------------------------------------
 
 
-def spanning_tree(points: DataFrame, knn: DataFrame, core: DataFrame, k: int, exact: bool = True) -> DataFrame:
+def spanning_tree(points: DataFrame, knn: DataFrame, core: DataFrame, k: int, exact: bool = True, complete: bool = True) -> DataFrame:
     """(a, b, weight): minimum spanning tree of mutual reachability over distinct points (id, vec).
 
     Boruvka rounds. A known neighbour edge is a component's lightest way out only if it is lighter than
     anything its points have not seen; otherwise the points that could do better are searched again
-    through the cells, within the best weight so far. ``exact=False`` keeps to the known edges, and parts
-    they do not connect stay apart.
+    through the cells, within the best weight so far. The cells are packed once; a round only makes the groups
+    of their points anew. Edges carry the groups of their ends, and those within a group are dropped.
+
+    ``complete`` says that ``knn`` holds the true nearest neighbours; of an approximate list a point has only seen
+    that nothing is nearer than its core distance. ``exact=False`` keeps to the known edges, and parts they do not connect
+    stay apart.
     """
-    edges = materialise(mutual_reachability(knn, core), "reach")
+    edges = mutual_reachability(knn, core).select("a", "b", F.round("weight", 12).alias("weight"), F.col("a").alias("ga"), F.col("b").alias("gb"))
+    edges = materialise(edges, "reach")
     unseen = knn.groupBy("id").agg(F.max("rank").alias("last"), F.max("dist").alias("far"))
     # With fewer than k neighbours a point has seen every other one.
-    unseen = unseen.withColumn("far", F.when(F.col("last") < k, F.lit(float("inf"))).otherwise(F.col("far")))
-    placed = core.join(unseen.select("id", "far"), "id", "left").select(
-        "id", "core", F.greatest("core", F.coalesce("far", F.lit(float("inf")))).alias("unseen"), F.col("id").alias("grp")
+    far = F.when(F.col("last") < k, F.lit(float("inf"))).otherwise(F.col("far")) if complete else F.lit(0.0)
+    unseen = unseen.select("id", far.alias("far"))
+    placed = core.join(unseen, "id", "left").select(
+        "id", "core", F.greatest("core", F.coalesce("far", F.lit(float("inf") if complete else 0.0))).alias("unseen"), F.col("id").alias("grp")
     )
     groups = materialise(placed, "points")
-    total = groups.count()
-    left, chosen, pivots = total, [], None
+    total, n_edges = groups.count(), edges.count()
+    left, chosen, index = total, [], None
     while left > 1:
-        best = materialise(_lightest(edges, groups), "lightest")
+        best = materialise(_lightest(edges), "lightest")
         if exact:
-            doubt = groups.join(best.select("grp", "weight"), "grp", "left").withColumn("bound", F.coalesce("weight", F.lit(float("inf"))))
-            doubt = doubt.where("unseen <= bound").select("id", "core", "grp", "bound")
-            doubt = materialise(doubt, "doubt")
+            doubt = look_up(groups, best.select("grp", F.col("weight").alias("bound")), "grp", total, "left")
+            doubt = doubt.withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).where("unseen <= bound")
+            doubt = materialise(doubt.select("id", "core", "grp", "bound"), "doubt")
             if not doubt.isEmpty():
-                if pivots is None:
-                    pivots = N.sample_pivots(points, N.default_cells(total))
-                found = materialise(_search_out(points, groups, doubt, pivots), "found")
-                best = materialise(_lowest(best.unionByName(found)), "lightest")
-        if best.isEmpty():
+                if index is None:
+                    members = points.join(core, "id").select("id", "vec", "core")
+                    index = N.build_cells(members, N.sample_pivots(points, N.default_cells(total)), single=False)
+                    spots = materialise(N.block_of(index), "spots")
+                cells = N.regrouped(index, groups.select("id", "grp").join(spots, "id"))
+                best = materialise(_lowest(best.unionByName(_search_out(points, cells, doubt))), "lightest")
+        # An edge that both its groups choose counts once, and the smaller of the two leads.
+        both = best.groupBy("a", "b").agg(F.first("weight").alias("weight"), F.when(F.count("*") == 2, F.min("grp")).alias("lead"))
+        picked = materialise(both, "picked")
+        joined = picked.count()
+        if not joined:
             break
-        ends = groups.select(F.col("id"), F.col("grp"))
-        joined = best.join(ends.select(F.col("id").alias("a"), F.col("grp").alias("ga")), "a").join(
-            ends.select(F.col("id").alias("b"), F.col("grp").alias("gb")), "b"
-        )
-        pairs = joined.groupBy(F.least("ga", "gb").alias("u"), F.greatest("ga", "gb").alias("v")).agg(
-            F.min(F.struct("weight", "a", "b")).alias("edge")
-        )
-        picked = materialise(pairs.select("u", "v", "edge.weight", "edge.a", "edge.b"), "picked")
-        chosen.append(picked)
+        chosen.append(picked.select("a", "b", "weight"))
         # The picked edges form a forest over the groups, so each of them joins two.
-        left -= picked.count()
+        left -= joined
         if left > 1:
-            roots = connected_components(picked.select("u", "v")).select(F.col("id").alias("grp"), "root")
-            sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-            roots = materialise(sizes.join(roots, "grp", "left").select("grp", "n", F.coalesce("root", "grp").alias("root")), "roots")
-            moved = attach(groups, roots, ["grp"], total)
+            leads = picked.where("lead IS NOT NULL").select(F.col("lead").alias("x"), F.lit(True).alias("root"))
+            pointers = best.select(F.col("grp").alias("x"), "far").join(leads, "x", "left")
+            pointers = pointers.select("x", F.when(F.col("root"), F.lit(None)).otherwise(F.col("far")).alias("up"))
+            roots = materialise(climb(pointers, left + joined).select(F.col("x").alias("grp"), F.col("top").alias("root")), "roots")
+            moved = look_up(groups, roots, "grp", total, "left")
             next_groups = materialise(moved.select("id", "core", "unseen", F.coalesce("root", "grp").alias("grp")), "points")
-            release(groups)
-            groups = next_groups
+            next_edges = edges
+            for end in ("ga", "gb"):
+                to = roots.withColumnsRenamed({"grp": end, "root": f"{end}_root"})
+                next_edges = look_up(next_edges, to, end, n_edges).withColumn(end, F.col(f"{end}_root")).drop(f"{end}_root")
+                if end == "ga" and n_edges > PLAIN:
+                    next_edges = materialise(next_edges, "reach")
+            next_edges = materialise(next_edges.where("ga <> gb"), "reach")
+            release(groups, edges)
+            groups, edges, n_edges = next_groups, next_edges, next_edges.count()
     if not chosen:
         return points.sparkSession.createDataFrame([], "a bigint, b bigint, weight double")
-    return reduce(DataFrame.unionByName, chosen).select("a", "b", "weight")
+    return reduce(DataFrame.unionByName, chosen)
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("grp").agg(F.min(F.struct("weight", "a", "b")).alias("edge"))
-    return least.select("grp", "edge.weight", "edge.a", "edge.b")
+    """(grp, weight, a, b, far): the lightest edge of each group, ties by the ids of its ends."""
+    least = edges.groupBy("grp").agg(F.min(F.struct("weight", "a", "b", "far")).alias("edge"))
+    return least.select("grp", "edge.weight", "edge.a", "edge.b", "edge.far")
 
 
-def _lightest(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """(grp, weight, a, b): lightest known edge leaving each group."""
-    ends = groups.select("id", "grp")
-    both = edges.join(ends.select(F.col("id").alias("a"), F.col("grp").alias("ga")), "a").join(
-        ends.select(F.col("id").alias("b"), F.col("grp").alias("gb")), "b"
-    )
-    out = both.where("ga <> gb").select(F.explode(F.array("ga", "gb")).alias("grp"), F.round("weight", 12).alias("weight"), "a", "b")
-    return _lowest(out)
+def _lightest(edges: DataFrame) -> DataFrame:
+    """The lightest known edge leaving each group."""
+    ways = F.array(F.struct(F.col("ga").alias("grp"), F.col("gb").alias("far")), F.struct(F.col("gb").alias("grp"), F.col("ga").alias("far")))
+    return _lowest(edges.select("weight", "a", "b", F.inline(ways)))
 
 
-def _search_out(points: DataFrame, groups: DataFrame, doubt: DataFrame, pivots) -> DataFrame:
-    """(grp, weight, a, b): lightest edges out of the groups of the doubtful points, within their bounds.
+def _search_out(points: DataFrame, cells: N.Cells, doubt: DataFrame) -> DataFrame:
+    """(grp, weight, a, b, far): lightest edges out of the groups of the doubtful points, within their bounds.
 
     The nearest cells come first; what they give bounds the visit to the others.
     """
-    members = points.join(groups.select("id", "core", "grp"), "id").select("id", "vec", "grp", "core")
-    cells = N.build_cells(members, pivots, single=False)
     asked = points.join(doubt, "id").select("id", "vec", "grp", "core", "bound")
-    near = _as_edges(N.search(asked, cells, 1, "reach", 2, False, per_group=True))
-    near = materialise(near, "near")
+    near = materialise(_as_edges(N.search(asked, cells, 1, "reach", 2, False, per_group=True)), "near")
     bounds = near.select("grp", F.col("weight").alias("limit"))
-    tight = asked.join(bounds, "grp", "left").withColumn("bound", F.least("bound", "limit"))
+    tight = look_up(materialise(asked, "asked"), bounds, "grp", doubt.count(), "left").withColumn("bound", F.least("bound", "limit")).drop("limit")
     # The second pass visits the remaining cells that can hold something at least as light.
     rest = _as_edges(N.search(tight.where("core <= bound"), cells, 1, "reach", 2, True, per_group=True))
     return _lowest(near.unionByName(rest))
@@ -154,132 +160,56 @@ def _search_out(points: DataFrame, groups: DataFrame, doubt: DataFrame, pivots)
 
 def _as_edges(found: DataFrame) -> DataFrame:
     return _lowest(
-        found.select("grp", F.col("cost").alias("weight"), F.least("id", "nbr_id").alias("a"), F.greatest("id", "nbr_id").alias("b"))
+        found.select("grp", F.col("cost").alias("weight"), F.least("id", "nbr_id").alias("a"), F.greatest("id", "nbr_id").alias("b"), "far")
     )
 
 
 # -- hierarchy -----------------------------------------------------------------------------------
 
 
-def single_linkage(tree: DataFrame, sizes: DataFrame, piece: int = PIECE) -> DataFrame:
+def single_linkage(tree: DataFrame, sizes: DataFrame) -> DataFrame:
     """(node, left, right, dist, size) from tree edges (a, b, weight) and leaf sizes (id, copies).
 
-    Leaves keep their ids and the merge over the edge of rank r is node -(r + 1). The edges are halved by
-    rank until every piece is small: light edges form components that are solved on their own, and in the
-    heavy rest each component stands as the one node of its heaviest edge.
+    Leaves keep their ids and the merge over the edge of rank r is node -(r + 1).
     """
-    ordered = tree.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
-    ranked = number_rows(ordered, ["weight", "a", "b"], "rank")
-    size = lambda end: sizes.select(F.col("id").alias(end), F.col("copies").alias(f"{end}_size"))
-    open_edges = ranked.join(size("a"), "a").join(size("b"), "b").withColumn("piece", F.lit(-1).cast("bigint"))
-    open_edges = materialise(open_edges.select("piece", "rank", "weight", "a", "b", "a_size", "b_size"), "open")
-    ready = []
-    while True:
-        cuts = open_edges.groupBy("piece").agg(
-            F.count("*").alias("n"), F.percentile_approx("rank", 0.5).alias("cut"), F.max("rank").alias("top")
-        )
-        cuts = materialise(cuts, "cuts")
-        large = cuts.where(F.col("n") > piece).withColumn("cut", F.least("cut", F.col("top") - 1))
-        ready.append(open_edges.join(cuts.where(F.col("n") <= piece).select("piece"), "piece", "left_semi"))
-        if large.isEmpty():
-            break
-        split = materialise(open_edges.join(large.select("piece", "cut"), "piece"), "split")
-        light, heavy = split.where("rank <= cut"), split.where("rank > cut")
-        roots = materialise(connected_components(light.select("a", "b")), "roots")
-        home = roots.select(F.col("id").alias("a"), "root")
-        inside = light.join(home, "a")
-        tops = inside.groupBy("root").agg(F.max("rank").alias("top"))
-        nodes = light.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("a_size").alias("n")), F.struct(F.col("b").alias("id"), F.col("b_size").alias("n"))))).distinct()
-        grown = nodes.join(roots, "id").groupBy("root").agg(F.sum("n").alias("grown"))
-        stand_in = roots.join(tops.join(grown, "root"), "root").select("id", (-F.col("top") - 1).alias("node"), "grown")
-        stand_in = materialise(stand_in, "standin")
-        for end in ("a", "b"):
-            to = stand_in.withColumnRenamed("id", end)
-            heavy = heavy.join(to, end, "left").withColumns(
-                {f"{end}_size": F.coalesce("grown", f"{end}_size"), end: F.coalesce("node", end)}
-            ).drop("node", "grown")
-        light = inside.join(tops, "root").withColumn("piece", F.col("top"))
-        columns = ["piece", "rank", "weight", "a", "b", "a_size", "b_size"]
-        open_edges = materialise(light.select(columns).unionByName(heavy.select(columns)), "open")
-    pieces = ready[0]
-    for part in ready[1:]:
-        pieces = pieces.unionByName(part)
-    return pieces.groupBy("piece").applyInPandas(_merge_piece, "node bigint, left bigint, right bigint, dist double, size bigint")
-
-
-def _merge_piece(edges: pd.DataFrame) -> pd.DataFrame:
-    """Merges of one bounded piece, edge by edge in rank order."""
-    edges = edges.sort_values("rank")
-    top, size = {}, {}
-    size.update(zip(edges["a"], edges["a_size"]))
-    size.update(zip(edges["b"], edges["b_size"]))
-
-    def find(x):
-        path = []
-        while x in top:
-            path.append(x)
-            x = top[x]
-        for y in path:
-            top[y] = x
-        return x
-
-    rows = []
-    for rank, weight, a, b in zip(edges["rank"], edges["weight"], edges["a"], edges["b"]):
-        left, right, node = find(a), find(b), -(rank + 1)
-        size[node] = size[left] + size[right]
-        top[left] = top[right] = node
-        rows.append((node, left, right, weight, size[node]))
-    return pd.DataFrame(rows, columns=["node", "left", "right", "dist", "size"])
-
-
-def _climb(start: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(x, top) from (x, up): follow ``up`` until an x whose ``up`` is null; pointer reach doubles per round."""
-    here = materialise(start.select("x", "up", F.coalesce("up", "x").alias("top")), "climb")
-    for _ in range(max_rounds):
-        if here.where("up IS NOT NULL").isEmpty():
-            return here.select("x", "top")
-        above = here.select(F.col("x").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"))
-        moved = here.where("up IS NOT NULL").join(above, "up").select("x", F.col("up2").alias("up"), F.col("top2").alias("top"))
-        after = materialise(moved.unionByName(here.where("up IS NULL")), "climb")
-        release(here)
-        here = after
-    raise RuntimeError("hierarchy is not a tree")
+    return merge_tree(tree, sizes)[0].drop("lo")
 
 
-def condensed_tree(merges: DataFrame, leaves: DataFrame, min_size: int = MIN_CLUSTER_SIZE) -> tuple[DataFrame, DataFrame]:
-    """(cluster, parent, birth, size, stability) and (id, cluster, exit) from merges and leaves (id, copies, core).
+def condensed_tree(merges: DataFrame, spots: DataFrame, leaves: DataFrame, min_size: int = MIN_CLUSTER_SIZE) -> tuple[DataFrame, DataFrame]:
+    """(cluster, parent, birth, size, stability) and (lo, cluster, exit, size) from the merge tree and leaves (id, copies, core).
 
     Walking down from the root, a merge whose two sides both hold ``min_size`` points starts two clusters;
-    a smaller side drops out of the cluster at the merge's density 1 / distance. Leaves without a large
-    ancestor have no cluster.
+    a smaller side drops out of the cluster at the merge's density 1 / distance. The second table has one row for each
+    side that drops out: the run of points from ``lo`` on, null cluster for a tree without a large part.
+
+    In the order of places, a larger part before those inside it, the large parts of one cluster stand together behind
+    its first one. So the cluster of each is the last first one, and no walk up the tree is needed.
     """
     merges = materialise(merges, "merges")
     density = lambda dist: 1 / F.greatest(dist, F.lit(TINY))
-    size = merges.select(F.col("node").alias("x"), "size").unionByName(leaves.select(F.col("id").alias("x"), F.col("copies").alias("size")))
+    nodes = merges.select(F.col("node").alias("x"), "size", "lo", F.lit(None).cast("double").alias("core")).unionByName(
+        leaves.join(spots, "id").select(F.col("id").alias("x"), F.col("copies").alias("size"), "lo", "core")
+    )
     down = merges.select(
         F.explode(F.array("left", "right")).alias("x"), F.col("node").alias("up"), density(F.col("dist")).alias("density")
     )
-    nodes = size.join(down, "x", "left").withColumn("big", F.col("size") >= min_size)
-    twins = nodes.where("big AND up IS NOT NULL").groupBy("up").agg(F.count("*").alias("bigs"))
-    nodes = materialise(nodes.join(twins, "up", "left").withColumn("bigs", F.coalesce("bigs", F.lit(0))), "condense")
-    # Large nodes belong to the nearest one above, or to themselves, that has no large sibling to part from.
-    births = F.col("up").isNull() | (F.col("bigs") == 2)
-    large = nodes.where("big").select("x", F.when(births, F.lit(None)).otherwise(F.col("up")).alias("up"))
-    owner = materialise(_climb(large), "owner")
-    small = nodes.where("NOT big")
-    hung = small.join(nodes.where("big").select(F.col("x").alias("up"), F.lit(True).alias("under_big")), "up", "left")
-    twigs = _climb(hung.select("x", F.when(F.col("under_big") | F.col("up").isNull(), F.lit(None)).otherwise(F.col("up")).alias("up")))
-    fallen = hung.where("under_big").select(F.col("x").alias("twig"), "up", F.col("density").alias("exit"))
-    fallen = fallen.join(owner.select(F.col("x").alias("up"), F.col("top").alias("cluster")), "up").drop("up")
-    below = twigs.join(leaves.select(F.col("id").alias("x")), "x").select(F.col("x").alias("id"), F.col("top").alias("twig"))
-    dropped = below.join(fallen, "twig").select("id", "cluster", "exit")
-    heavy = leaves.join(owner, leaves["id"] == owner["x"]).select("id", F.col("top").alias("cluster"), density(F.col("core")).alias("exit"))
-    exits = materialise(dropped.unionByName(heavy), "exits")
-    heads = nodes.where("big").where(births).select(F.col("x").alias("cluster"), "up", F.coalesce("density", F.lit(0.0)).alias("birth"), "size")
-    above = owner.select(F.col("x").alias("up"), F.col("top").alias("parent"))
+    nodes = nodes.join(down, "x", "left").withColumn("big", F.col("size") >= min_size)
+    # A merge has two sides, so both are known to each other after one grouping.
+    bigs = nodes.where("up IS NOT NULL").groupBy("up").agg(F.count_if("big").alias("bigs"))
+    nodes = materialise(nodes.join(bigs, "up", "left"), "condense")
+    births = F.col("big") & (F.col("up").isNull() | (F.col("bigs") == 2))
+    large = nodes.where("big").select("x", "up", "lo", (-F.col("size")).alias("rev"), F.when(births, F.col("x")).alias("head"), "core", "density")
+    owner = materialise(scan(materialise(large, "large"), ["lo", "rev"], None, (), ("head",)).withColumnRenamed("last_head", "cluster"), "owner")
+    above = owner.select(F.col("x").alias("up"), F.col("cluster").alias("parent"))
+    fallen = nodes.where("NOT big").join(above, "up").select("lo", F.col("parent").alias("cluster"), F.col("density").alias("exit"), "size")
+    # A leaf of many copies is large itself: its points leave at its core distance.
+    heavy = owner.where("x >= 0").select("lo", "cluster", density(F.col("core")).alias("exit"), (-F.col("rev")).alias("size"))
+    nothing = nodes.where("NOT big AND up IS NULL").select("lo", F.lit(None).cast("bigint").alias("cluster"), F.lit(0.0).alias("exit"), "size")
+    exits = materialise(fallen.unionByName(heavy).unionByName(nothing), "exits")
+    heads = owner.where("head IS NOT NULL").select("cluster", "up", F.coalesce("density", F.lit(0.0)).alias("birth"), (-F.col("rev")).alias("size"))
     heads = materialise(heads.join(above, "up", "left").select("cluster", "parent", "birth", "size"), "heads")
-    gains = exits.join(leaves.select("id", "copies"), "id").groupBy("cluster").agg(
-        F.sum(F.col("exit") * F.col("copies")).alias("mass"), F.sum("copies").alias("points")
+    gains = exits.where("cluster IS NOT NULL").groupBy("cluster").agg(
+        F.sum(F.col("exit") * F.col("size")).alias("mass"), F.sum("size").alias("points")
     )
     gains = gains.unionByName(
         heads.where("parent IS NOT NULL").groupBy(F.col("parent").alias("cluster")).agg(
@@ -322,8 +252,8 @@ def choose_clusters(clusters: DataFrame, max_rounds: int = 128) -> DataFrame:
             "cluster", "parent", "floor", (F.col("base") + F.coalesce("got", F.lit(0.0))).alias("base"),
             (F.col("pending") - F.coalesce("done", F.lit(0))).alias("pending"), (F.col("kid") - F.coalesce("done_kid", F.lit(0))).alias("kid"),
         )
-        # All totals so far: a composed step may point at a cluster that finished in an earlier round.
-        known = reduce(DataFrame.unionByName, values)
+        # A composed step may point at a cluster that finished one round ago, but no earlier.
+        known = reduce(DataFrame.unionByName, values[-2:])
         ahead = known.select(F.col("cluster").alias("kid"), F.col("value"), F.lit(None).cast("double").alias("floor2"), F.lit(None).cast("double").alias("base2"), F.lit(None).cast("bigint").alias("kid2"))
         runs = rest.where("pending = 1")
         ahead = ahead.unionByName(runs.select(F.col("cluster").alias("kid"), F.lit(None).cast("double").alias("value"), F.col("floor").alias("floor2"), F.col("base").alias("base2"), F.col("kid").alias("kid2")))
@@ -343,12 +273,14 @@ def choose_clusters(clusters: DataFrame, max_rounds: int = 128) -> DataFrame:
         "kept", F.col("parent").isNotNull() & (F.col("stability") >= F.coalesce("below", F.lit(float("-inf"))))
     )
     # The highest kept cluster on the way to the root.
+    n_clusters = clusters.count()
     path = materialise(kept.select("cluster", F.col("parent").alias("up"), F.when(F.col("kept"), F.col("cluster")).alias("chosen")), "path")
     for _ in range(max_rounds):
         if path.where("up IS NOT NULL").isEmpty():
             break
         above = path.select(F.col("cluster").alias("up"), F.col("up").alias("up2"), F.col("chosen").alias("chosen2"))
-        moved = path.where("up IS NOT NULL").join(above, "up").select("cluster", F.col("up2").alias("up"), F.coalesce("chosen2", "chosen").alias("chosen"))
+        moved = look_up(path.where("up IS NOT NULL"), above, "up", n_clusters)
+        moved = moved.select("cluster", F.col("up2").alias("up"), F.coalesce("chosen2", "chosen").alias("chosen"))
         after = materialise(moved.unionByName(path.where("up IS NULL")), "path")
         release(path)
         path = after
@@ -359,14 +291,15 @@ def choose_clusters(clusters: DataFrame, max_rounds: int = 128) -> DataFrame:
 
 
 def density_graph(points: DataFrame, k: int = 30, min_samples: int = MIN_SAMPLES, exact: bool = True, knn: DataFrame | None = None):
-    """(leaves, tree edges, copies): the weighted distinct points, their spanning tree and (id, rep)."""
+    """(leaves, tree edges, copies): the weighted distinct points, their spanning tree and (id, rep).
+
+    ``knn`` is taken as approximate: core distances are those within it.
+    """
     reps, copies = N.distinct_vectors(points)
-    k = max(k, min_samples)
-    if knn is None:
-        knn = vector_knn(reps, k)
-    knn = materialise(knn, "knn")
+    k, complete = max(k, min_samples), knn is None
+    knn = materialise(vector_knn(reps, k) if complete else knn, "knn")
     core = materialise(core_distances(knn, reps, min_samples), "core")
-    tree = materialise(spanning_tree(reps, knn, core, k, exact), "mst")
+    tree = materialise(spanning_tree(reps, knn, core, k, exact, complete), "mst")
     leaves = materialise(reps.select("id", "copies").join(core, "id"), "leaves")
     return leaves, tree, copies
 
@@ -379,14 +312,22 @@ def full_tree(leaves: DataFrame, tree: DataFrame, copies: DataFrame) -> DataFram
 
 def density_clusters(points: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, min_samples: int = MIN_SAMPLES, k: int = 30, exact: bool = True, knn: DataFrame | None = None) -> DataFrame:
     """(id, cluster) of (id, vec): chosen clusters numbered by their smallest id, everything else -1."""
+    return settle(lambda: _density_labels(points, min_cluster_size, min_samples, k, exact, knn), "density")
+
+
+def _density_labels(points: DataFrame, min_cluster_size: int, min_samples: int, k: int, exact: bool, knn: DataFrame | None) -> DataFrame:
     leaves, tree, copies = density_graph(points, k, min_samples, exact, knn)
-    merges = single_linkage(tree, leaves.select("id", "copies"))
-    clusters, exits = condensed_tree(merges, leaves, min_cluster_size)
+    merges, spots = merge_tree(tree, leaves.select("id", "copies"))
+    spots = materialise(spots, "spots")
+    clusters, exits = condensed_tree(merges, spots, leaves, min_cluster_size)
     if clusters.isEmpty():
         return copies.select("id", F.lit(-1).alias("cluster"))
-    chosen = choose_clusters(clusters)
-    found = exits.join(chosen.where("chosen IS NOT NULL"), "cluster").select(F.col("id").alias("rep"), "chosen")
-    found = materialise(found, "found")
+    chosen = choose_clusters(clusters).where("chosen IS NOT NULL")
+    # Each part that drops out is a run of points; its points come behind it in the order of places.
+    parts = look_up(exits.select("lo", "cluster"), chosen, "cluster", exits.count(), "left").select("lo", F.lit(0).alias("turn"), F.lit(None).cast("bigint").alias("id"), F.coalesce("chosen", F.lit(NONE)).alias("chosen"))
+    both = parts.unionByName(spots.select("lo", F.lit(1).alias("turn"), "id", F.lit(None).cast("bigint").alias("chosen")))
+    found = scan(materialise(both, "parts"), ["lo", "turn"], None, (), ("chosen",)).where("turn = 1").select(F.col("id").alias("rep"), F.col("last_chosen").alias("chosen"))
+    found = materialise(found.where(F.col("chosen") != NONE), "found")
     firsts = found.groupBy("chosen").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
     numbers = materialise(number_rows(firsts, ["first"], "cluster"), "numbers")
     labelled = attach(found, numbers.select("chosen", "n", "cluster"), ["chosen"], found.count()).select("rep", "cluster")

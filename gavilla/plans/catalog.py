@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gavilla.functions import text as T, vectors as V
 from gavilla.operators import components as C, density as D, encode as E, hierarchy as H, keys as K, minhash as M
 from gavilla.operators import neighbours as N, prepare as P, summary as S, tfidf as TF
+from gavilla.operators.merge_tree import merge_tree
 from gavilla.plans import pipelines as R
 from gavilla.session import materialise, scratch_root
 from gavilla.sources import files as FI
@@ -323,18 +324,19 @@ def mutual_reachability(spark, sf):
 
 def spanning_tree(spark, sf):
     leaves, tree, copies = D.density_graph(labelled_vectors(spark, sf), 10)
-    return D.full_tree(leaves, tree, copies)
+    return D.full_tree(leaves, tree, copies).withColumn("weight", F.round("weight", 6))
 
 
 def single_linkage(spark, sf):
     leaves, tree, _ = D.density_graph(labelled_vectors(spark, sf), 10)
-    return D.single_linkage(tree, leaves.select("id", "copies"))
+    return D.single_linkage(tree, leaves.select("id", "copies")).withColumn("dist", F.round("dist", 6))
 
 
 def condensed_clusters(spark, sf):
     leaves, tree, _ = D.density_graph(labelled_vectors(spark, sf), 10)
-    clusters, _ = D.condensed_tree(D.single_linkage(tree, leaves.select("id", "copies")), leaves)
-    return clusters.join(D.choose_clusters(clusters), "cluster")
+    clusters, _ = D.condensed_tree(*merge_tree(tree, leaves.select("id", "copies")), leaves)
+    found = clusters.join(D.choose_clusters(clusters), "cluster")
+    return found.withColumns({c: F.round(c, 6) for c in ("birth", "stability")})
 
 
 def density_clusters(spark, sf):

@@ -84,6 +84,62 @@ CORE = f"""{SIMS}, knn AS (SELECT * FROM (SELECT id, nbr_id, dist, row_number()
     WHERE rank <= 10), core AS (SELECT id, max(dist) AS core FROM knn WHERE rank <= 5 GROUP BY id)"""
 
 
+# Prim's algorithm over the whole matrix: one point joins per step. Its ways are [weight, from], by place in ``p``.
+SHIFTED = """p AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i, list_transform(raw, lambda x: x / sqrt(list_sum(list_transform(raw, lambda y: y * y)))) AS vec
+    FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x, j: 0.3 * x + CASE WHEN j = label + 1 THEN 1.0 ELSE 0.0 END) AS raw FROM embeddings)),
+  apart AS (SELECT a.i, b.i AS j, a.id AS id_a, b.id AS id_b, list_distance(a.vec, b.vec) AS dist FROM p a JOIN p b ON a.i <> b.i),
+  cores AS (SELECT i, max(dist) AS core FROM (SELECT i, dist, row_number() OVER (PARTITION BY i ORDER BY dist, id_b) AS rank FROM apart) WHERE rank <= 5 GROUP BY i),
+  reach AS MATERIALIZED (SELECT i, list({'w': w, 'a': a, 'b': b, 'j': j} ORDER BY j) AS ways FROM (
+    SELECT x.i, x.j, round(greatest(dist, c.core, d.core), 12) AS w, least(id_a, id_b) AS a, greatest(id_a, id_b) AS b
+    FROM apart x JOIN cores c ON c.i = x.i JOIN cores d ON d.i = x.j) GROUP BY i)"""
+TREE = f"""{SHIFTED},
+  grow(step, ways, edge) AS (
+    SELECT 1, ways, {{'w': CAST(NULL AS DOUBLE), 'a': CAST(NULL AS BIGINT), 'b': CAST(NULL AS BIGINT), 'j': CAST(NULL AS BIGINT)}} FROM reach WHERE i = 1
+    UNION ALL
+    SELECT step + 1, list_transform(list_filter(list_zip(open, fresh), lambda z: z[1].j <> edge.j), lambda z: least(z[1], z[2])), edge
+    FROM (SELECT step, edge, open, list_filter(r.ways, lambda y: list_contains(js, y.j) OR y.j = edge.j) AS others, r.ways AS way_rows, js,
+        list_transform(open, lambda o: CASE WHEN o.j = edge.j THEN o ELSE r.ways[CASE WHEN o.j < edge.j THEN o.j ELSE o.j - 1 END] END) AS fresh
+      FROM (SELECT step, ways AS open, list_min(ways) AS edge, list_transform(ways, lambda o: o.j) AS js FROM grow WHERE len(ways) > 0) g JOIN reach r ON r.i = g.edge.j)),
+  mst AS MATERIALIZED (SELECT edge.a AS a, edge.b AS b, edge.w AS weight, row_number() OVER (ORDER BY edge.w, edge.a, edge.b) AS rank FROM grow WHERE step > 1)"""
+# Edges merge in order; tops[i] is the node that point i has come to.
+LINKED = f"""{TREE},
+  merge(rank, tops, node, "left", "right", dist, size) AS (
+    SELECT CAST(0 AS BIGINT), (SELECT list(id ORDER BY i) FROM p), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT)
+    UNION ALL
+    SELECT rank, list_transform(tops, lambda t: CASE WHEN t = x OR t = y THEN -rank ELSE t END), -rank, least(x, y), greatest(x, y), weight,
+      len(list_filter(tops, lambda t: t = x OR t = y))
+    FROM (SELECT m.rank, tops, weight, tops[pa.i] AS x, tops[pb.i] AS y FROM merge JOIN mst m ON m.rank = merge.rank + 1 JOIN p pa ON pa.id = m.a JOIN p pb ON pb.id = m.b)),
+  merges AS MATERIALIZED (SELECT node, "left", "right", dist, size FROM merge WHERE rank > 0)"""
+# Down from the root: the cluster that a node belongs to and, of parts below the least size, where they fell out.
+CONDENSED = f"""{LINKED},
+  size_of AS (SELECT node AS x, size FROM merges UNION ALL SELECT id, 1 FROM p),
+  down AS MATERIALIZED (SELECT c AS x, node AS up, 1 / greatest(dist, 1e-10) AS density FROM (SELECT node, dist, unnest(["left", "right"]) AS c FROM merges)),
+  side AS MATERIALIZED (SELECT x, up, density, size, size >= 20 AS big, sum(CASE WHEN size >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY up) AS bigs FROM down JOIN size_of USING (x)),
+  walk(x, cluster, parent, birth, size, big, fell) AS (
+    SELECT node, node, CAST(NULL AS BIGINT), CAST(0 AS DOUBLE), size, true, CAST(NULL AS DOUBLE) FROM merges WHERE node NOT IN (SELECT x FROM down) AND size >= 20
+    UNION ALL
+    SELECT s.x, CASE WHEN s.big AND bigs = 2 THEN s.x ELSE w.cluster END, CASE WHEN s.big AND bigs = 2 THEN w.cluster ELSE w.parent END,
+      CASE WHEN s.big AND bigs = 2 THEN s.density ELSE w.birth END, s.size, s.big, CASE WHEN NOT s.big THEN s.density END
+    FROM side s JOIN walk w ON w.x = s.up AND w.big),
+  heads AS MATERIALIZED (SELECT cluster, parent, birth, size FROM walk WHERE x = cluster),
+  gains AS (SELECT cluster, sum(mass) AS mass, sum(points) AS points FROM (
+    SELECT cluster, fell * size AS mass, size AS points FROM walk WHERE NOT big UNION ALL
+    SELECT parent, birth * size, size FROM heads WHERE parent IS NOT NULL) GROUP BY cluster),
+  clusters AS MATERIALIZED (SELECT h.*, mass - birth * points AS stability, row_number() OVER (ORDER BY h.cluster DESC) AS turn FROM heads h JOIN gains USING (cluster)),
+  -- Clusters from the lightest merge on, so that those inside one come before it; best holds their totals.
+  total(turn, best, kept, cluster) AS (
+    SELECT CAST(0 AS BIGINT), MAP([CAST(0 AS BIGINT)], [CAST(0 AS DOUBLE)]), false, CAST(NULL AS BIGINT)
+    UNION ALL
+    SELECT turn, map_concat(best, MAP([cluster], [greatest(stability, below)])), parent IS NOT NULL AND (stability >= below OR NOT kids), cluster
+    FROM (SELECT c.turn, best, c.cluster, parent, stability, kids IS NOT NULL AS kids,
+        coalesce(list_sum(list_transform(kids, lambda k: best[k])), 0) AS below
+      FROM total t JOIN clusters c ON c.turn = t.turn + 1 LEFT JOIN (SELECT parent AS p, list(cluster) AS kids FROM clusters GROUP BY parent) k ON k.p = c.cluster)),
+  picked(cluster, chosen) AS (
+    SELECT cluster, CASE WHEN kept THEN cluster END FROM clusters JOIN total USING (cluster) WHERE parent IS NULL
+    UNION ALL
+    SELECT c.cluster, coalesce(p.chosen, CASE WHEN t.kept THEN c.cluster END) FROM clusters c JOIN picked p ON c.parent = p.cluster JOIN total t ON t.cluster = c.cluster)"""
+
+
 def term_counts(source: str) -> str:
     """counts (id, term, tf) of word-bounded grams of ``source`` (id, c)."""
     parts = " UNION ALL ".join(
@@ -158,6 +214,15 @@ ORACLES = {
     "core_distance": f"WITH {CORE} SELECT id, round(core, 6) AS core FROM core",
     "mutual_reachability": f"""WITH {CORE} SELECT DISTINCT least(k.id, k.nbr_id) AS a, greatest(k.id, k.nbr_id) AS b,
       round(greatest(dist, x.core, y.core), 6) AS weight FROM knn k JOIN core x ON x.id = k.id JOIN core y ON y.id = k.nbr_id""",
+    "spanning_tree": f"WITH RECURSIVE {TREE} SELECT a, b, round(weight, 6) AS weight FROM mst",
+    "single_linkage": f"""WITH RECURSIVE {LINKED} SELECT node, "left", "right", round(dist, 6) AS dist, size FROM merges""",
+    "condensed_clusters": f"""WITH RECURSIVE {CONDENSED} SELECT cluster, parent, round(birth, 6) AS birth, size, round(stability, 6) AS stability, chosen
+      FROM clusters JOIN picked USING (cluster)""",
+    "density_clusters": f"""WITH RECURSIVE {CONDENSED},
+      inside(id, x) AS (SELECT id, id FROM p UNION ALL SELECT id, up FROM inside JOIN down USING (x)),
+      found AS (SELECT id, chosen FROM inside JOIN walk USING (x) JOIN picked USING (cluster) WHERE NOT big AND chosen IS NOT NULL),
+      numbers AS (SELECT chosen, row_number() OVER (ORDER BY min(id)) - 1 AS n FROM found GROUP BY chosen)
+      SELECT p.id, CAST(coalesce(n, -1) AS INTEGER) AS cluster FROM p LEFT JOIN found USING (id) LEFT JOIN numbers USING (chosen)""",
     "representative_distances": f"""{TURN_LABELS}, heads AS (SELECT cluster, min(id) AS id FROM labels WHERE cluster <> -1 GROUP BY cluster),
       reps AS (SELECT cluster, sig FROM heads JOIN sigs USING (id))
       SELECT x.cluster AS a, y.cluster AS b, round(1 - list_sum(list_transform(range(1, {NUM_PERM + 1}),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gavilla.functions import text as T
 from gavilla.operators import components as C, density as D, hierarchy as H, minhash as M, neighbours as N, summary as S
 from tests import brute
+from tests.test_merge_tree import plain as plain_merges
 
 
 def vectors(spark, x, ids=None):
@@ -100,10 +101,10 @@ def test_spanning_tree_and_density_labels(spark, blobs):
     leaves, tree, copies = D.density_graph(vectors(spark, blobs), 8)
     edges = D.full_tree(leaves, tree, copies).toPandas()
     assert np.abs(np.sort(edges["weight"]) - brute.prim(weight)).max() < 1e-9
-    # Cutting the hierarchy into small pieces must not change it.
-    sizes = leaves.select("id", "copies")
-    whole, cut = (D.single_linkage(tree, sizes, piece=p).orderBy("node").toPandas() for p in (D.PIECE, 25))
-    assert whole.equals(cut) and whole["size"].max() == len(blobs)
+    # The hierarchy is that of merging edge by edge.
+    copies_of = {r["id"]: r["copies"] for r in leaves.collect()}
+    merges = {r["node"]: (r["left"], r["right"], r["dist"], r["size"]) for r in D.single_linkage(tree, leaves.select("id", "copies")).collect()}
+    assert merges == plain_merges(map(tuple, tree.collect()), copies_of)[0] and max(m[3] for m in merges.values()) == len(blobs)
     labels = D.density_clusters(vectors(spark, blobs), 20, k=8).orderBy("id").toPandas()["cluster"].to_numpy()
     wanted = brute.density_labels(weight, 20)
     # Equal merge distances leave single points free to fall on either side of a split.
