@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gavilla.operators import neighbours as N
 from gavilla.operators.keys import PLAIN, attach, look_up, number_rows
-from gavilla.operators.merge_tree import climb, merge_tree
+from gavilla.operators.merge_tree import climb, merge_tree, relabel
 from gavilla.operators.scans import scan
 from gavilla.session import materialise, release, settle
 
@@ -95,13 +95,14 @@ def spanning_tree(points: DataFrame, knn: DataFrame, core: DataFrame, k: int, ex
             doubt = look_up(groups, best.select("grp", F.col("weight").alias("bound")), "grp", total, "left")
             doubt = doubt.withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).where("unseen <= bound")
             doubt = materialise(doubt.select("id", "core", "grp", "bound"), "doubt")
-            if not doubt.isEmpty():
+            n_doubt = doubt.count()
+            if n_doubt:
                 if index is None:
                     members = points.join(core, "id").select("id", "vec", "core")
                     index = N.build_cells(members, N.sample_pivots(points, N.default_cells(total)), single=False)
                     spots = materialise(N.block_of(index), "spots")
                 cells = N.regrouped(index, groups.select("id", "grp").join(spots, "id"))
-                best = materialise(_lowest(best.unionByName(_search_out(points, cells, doubt))), "lightest")
+                best = materialise(_lowest(best.unionByName(_search_out(points, cells, doubt, n_doubt))), "lightest")
         # An edge that both its groups choose counts once, and the smaller of the two leads.
         both = best.groupBy("a", "b").agg(F.first("weight").alias("weight"), F.when(F.count("*") == 2, F.min("grp")).alias("lead"))
         picked = materialise(both, "picked")
@@ -115,16 +116,10 @@ def spanning_tree(points: DataFrame, knn: DataFrame, core: DataFrame, k: int, ex
             leads = picked.where("lead IS NOT NULL").select(F.col("lead").alias("x"), F.lit(True).alias("root"))
             pointers = best.select(F.col("grp").alias("x"), "far").join(leads, "x", "left")
             pointers = pointers.select("x", F.when(F.col("root"), F.lit(None)).otherwise(F.col("far")).alias("up"))
-            roots = materialise(climb(pointers, left + joined).select(F.col("x").alias("grp"), F.col("top").alias("root")), "roots")
+            roots = climb(pointers, left + joined).select(F.col("x").alias("grp"), F.col("top").alias("root"))
             moved = look_up(groups, roots, "grp", total, "left")
             next_groups = materialise(moved.select("id", "core", "unseen", F.coalesce("root", "grp").alias("grp")), "points")
-            next_edges = edges
-            for end in ("ga", "gb"):
-                to = roots.withColumnsRenamed({"grp": end, "root": f"{end}_root"})
-                next_edges = look_up(next_edges, to, end, n_edges).withColumn(end, F.col(f"{end}_root")).drop(f"{end}_root")
-                if end == "ga" and n_edges > PLAIN:
-                    next_edges = materialise(next_edges, "reach")
-            next_edges = materialise(next_edges.where("ga <> gb"), "reach")
+            next_edges = materialise(relabel(edges, roots, ["ga", "gb"], n_edges).where("ga <> gb"), "reach")
             release(groups, edges)
             groups, edges, n_edges = next_groups, next_edges, next_edges.count()
     if not chosen:
@@ -144,7 +139,7 @@ def _lightest(edges: DataFrame) -> DataFrame:
     return _lowest(edges.select("weight", "a", "b", F.inline(ways)))
 
 
-def _search_out(points: DataFrame, cells: N.Cells, doubt: DataFrame) -> DataFrame:
+def _search_out(points: DataFrame, cells: N.Cells, doubt: DataFrame, n_doubt: int) -> DataFrame:
     """(grp, weight, a, b, far): lightest edges out of the groups of the doubtful points, within their bounds.
 
     The nearest cells come first; what they give bounds the visit to the others.
@@ -152,7 +147,9 @@ def _search_out(points: DataFrame, cells: N.Cells, doubt: DataFrame) -> DataFram
     asked = points.join(doubt, "id").select("id", "vec", "grp", "core", "bound")
     near = materialise(_as_edges(N.search(asked, cells, 1, "reach", 2, False, per_group=True)), "near")
     bounds = near.select("grp", F.col("weight").alias("limit"))
-    tight = look_up(materialise(asked, "asked"), bounds, "grp", doubt.count(), "left").withColumn("bound", F.least("bound", "limit")).drop("limit")
+    if n_doubt > PLAIN:
+        asked = materialise(asked, "asked")
+    tight = look_up(asked, bounds, "grp", n_doubt, "left").withColumn("bound", F.least("bound", "limit")).drop("limit")
     # The second pass visits the remaining cells that can hold something at least as light.
     rest = _as_edges(N.search(tight.where("core <= bound"), cells, 1, "reach", 2, True, per_group=True))
     return _lowest(near.unionByName(rest))

@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from gavilla.operators.keys import look_up, number_rows
+from gavilla.operators.keys import PLAIN, look_up, number_rows
 from gavilla.operators.scans import scan
 from gavilla.session import materialise, release
 
@@ -30,17 +30,33 @@ def climb(start: DataFrame, total: int, max_rounds: int = 64) -> DataFrame:
     """(x, top) from ``total`` rows (x, up): follow ``up`` until an x whose ``up`` is null; the reach doubles per round."""
     here = materialise(start.select("x", "up", F.coalesce("up", "x").alias("top")), "climb")
     for _ in range(max_rounds):
-        moving = here.where("up IS NOT NULL")
-        if moving.isEmpty():
+        if here.where("up IS NOT NULL").isEmpty():
             return here.select("x", "top")
         above = here.select(F.col("x").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"))
-        moved = look_up(moving, above, "up", total).select("x", F.col("up2").alias("up"), F.col("top2").alias("top"))
-        after = materialise(moved.unionByName(here.where("up IS NULL")), "climb")
+        jump = lambda rows: look_up(rows, above, "up", total, "left").select(
+            "x", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top")
+        )
+        if total <= PLAIN:  # a light join, so two at once
+            moved = jump(jump(here))
+        else:
+            moved = jump(here.where("up IS NOT NULL")).unionByName(here.where("up IS NULL"))
+        after = materialise(moved, "climb")
         release(here)
         here = after
     raise RuntimeError("pointers do not end")
 
 
+def relabel(edges: DataFrame, roots: DataFrame, ends: list[str], total: int) -> DataFrame:
+    """``edges`` with each of the columns ``ends`` replaced by its root of ``roots`` (vertex, root)."""
+    vertex, root = roots.columns
+    for end in ends:
+        if total > PLAIN:
+            edges = materialise(edges, "relabel")
+        to = roots.select(F.col(vertex).alias(end), F.col(root).alias("_root"))
+        edges = look_up(edges, to, end, total).withColumn(end, F.col("_root")).drop("_root")
+    return edges
+
+
 def _levels(edges: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[int]]:
     """Per level: (rank, level, c1, c2) of the edges picked there, by one vertex or by both (else c2 is null); and
     (rank, k, v) of the edges that belong to the chain of vertex v of level k, with how many there are."""
@@ -73,16 +89,13 @@ def _levels(edges: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[in
         pairs = own.where("c2 IS NOT NULL").select(F.col("c1").alias("x"), F.lit(True).alias("root"))
         pointers = low.select(F.col("v").alias("x"), "far").join(pairs, "x", "left").select("x", F.when(F.col("root"), F.lit(None)).otherwise(F.col("far")).alias("up"))
         n_vertices = low.count()
-        roots = materialise(climb(pointers, n_vertices).select(F.col("x").alias("v"), F.col("top").alias("root")), "roots")
+        roots = climb(pointers, n_vertices).select(F.col("x").alias("v"), F.col("top").alias("root"))
         fresh = own.select("rank", F.col("c1").alias("v")).join(roots, "v").select("rank", F.col("root").alias("v"))
         if n_rest:
             fresh = fresh.unionByName(look_up(rest, roots, "v", n_rest).select("rank", F.col("root").alias("v")))
         pending = materialise(fresh, "pending")
-        left = materialise(open_edges.join(own.select("rank"), "rank", "left_anti"), "left")
-        for end in ("u", "w"):
-            to = roots.select(F.col("v").alias(end), F.col("root").alias(f"{end}_root"))
-            left = materialise(look_up(left, to, end, total), "left").withColumn(end, F.col(f"{end}_root")).drop(f"{end}_root")
-        open_edges, level = left.select("rank", "u", "w"), level + 1
+        open_edges = relabel(open_edges.join(own.select("rank"), "rank", "left_anti"), roots, ["u", "w"], total)
+        open_edges, level = materialise(open_edges, "left"), level + 1
 
 
 def merge_tree(tree: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
