@@ -233,7 +233,7 @@ def choose_clusters(clusters: DataFrame, max_rounds: int = 128) -> DataFrame:
         "cluster", "parent", F.col("stability").alias("floor"), F.lit(0.0).alias("base"),
         F.coalesce("pending", F.lit(0)).cast("bigint").alias("pending"), "kid",
     )
-    state, values = materialise(state, "eom"), []
+    state, values, carried = materialise(state, "eom"), [], None
     for _ in range(max_rounds):
         if state.isEmpty():
             break
@@ -249,8 +249,8 @@ def choose_clusters(clusters: DataFrame, max_rounds: int = 128) -> DataFrame:
             "cluster", "parent", "floor", (F.col("base") + F.coalesce("got", F.lit(0.0))).alias("base"),
             (F.col("pending") - F.coalesce("done", F.lit(0))).alias("pending"), (F.col("kid") - F.coalesce("done_kid", F.lit(0))).alias("kid"),
         )
-        # A composed step may point at a cluster that finished one round ago, but no earlier.
-        known = reduce(DataFrame.unionByName, values[-2:])
+        # A composed step may point at a cluster that finished in an earlier round; only such totals are carried on.
+        known = value if carried is None else value.unionByName(carried)
         ahead = known.select(F.col("cluster").alias("kid"), F.col("value"), F.lit(None).cast("double").alias("floor2"), F.lit(None).cast("double").alias("base2"), F.lit(None).cast("bigint").alias("kid2"))
         runs = rest.where("pending = 1")
         ahead = ahead.unionByName(runs.select(F.col("cluster").alias("kid"), F.lit(None).cast("double").alias("value"), F.col("floor").alias("floor2"), F.col("base").alias("base2"), F.col("kid").alias("kid2")))
@@ -260,6 +260,8 @@ def choose_clusters(clusters: DataFrame, max_rounds: int = 128) -> DataFrame:
             F.when(F.col("value").isNotNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("pending"), F.coalesce("kid2", "kid").alias("kid"),
         )
         after = materialise(open_two.unionByName(open_one), "eom")
+        wanted = after.where("pending = 1").select(F.col("kid").alias("cluster"))
+        carried = materialise(known.join(wanted, "cluster", "left_semi"), "carried")
         release(state)
         state = after
     else:
