@@ -10,17 +10,24 @@ from __future__ import annotations
 
 import base64
 import struct
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from gavilla.llm.common import free_name, per_process, strings
 
-# Entries of a memory of words or pairs; a fuller one is put aside and then dropped. Results do not depend on it.
-REMEMBERED = 200_000
+# Entries of a memory of matches or pairs; a fuller one is put aside and then dropped. Words as they come have a smaller one,
+# which is emptied. Results do not depend on them.
+REMEMBERED, HOT_WORDS = 250_000, 100_000
+# Characters of the longest word that is remembered, and bytes that are decoded at a time.
+LONGEST, SLICE = 48, 1 << 21
+# Marks that are neither letter, number nor white space, nor begin a contraction.
+MARKS = ".,;:!?"
 
 NEVER = 1 << 40
 
@@ -50,7 +57,7 @@ class Codec:
             self.matcher.add_word(token.decode("latin-1"), self.ranks[token])
         self.matcher.make_automaton()
         # For each token the next shorter one that starts the same way; -1 if there is none.
-        self.shorter = {
+        shorter = {
             self.ranks[token]: next((self.ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in usable), -1)
             for token in usable
         }
@@ -63,10 +70,16 @@ class Codec:
             self.left_edge[rank] = [*self.left_edge[self.ranks[parts[0]]], own] if two else [own]
         # Whether parts always rank before what they form, as in any trained table; then merges happen in order of rank.
         self.ordered = all(self.ranks[part] < self.ranks[token] for token in usable if len(token) > 1 for part in halves[token])
-        self.sizes = {rank: len(token) for rank, token in self.bytes_of.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        top = max(self.bytes_of, default=-1)
+        self.sizes = [len(self.bytes_of.get(rank, b"")) for rank in range(top + 1)]
+        self.shorter = [shorter.get(rank, -1) for rank in range(top + 1)]
+        self.pairs, self.older_pairs = {}, {}
+        self.words, self.pieces, self.older_pieces = {}, {}, {}
+        # Letters of which a word is one match of these patterns.
+        self.letters = "".join(c for c in map(chr, range(0x250)) if regex.match(r"\p{L}", c)) if self.cut else ""
+        # Bytes of each rank by its place; null where there is none.
+        table = [self.bytes_of.get(rank) for rank in range(max(self.bytes_of, default=-1) + 1)]
+        self.table = pa.array(table, pa.large_binary())
 
     def _merge(self, piece: bytes, least: int = 1) -> list[bytes]:
         """Merging by rank, the plain way, until ``least`` parts are left or none can merge; only run on single tokens or two."""
@@ -100,9 +113,12 @@ class Codec:
     def _compatible(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
+            known = self.older_pairs.get((left, right))
+            if known is None:
+                known = self._stay_apart(left, right)
             if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._stay_apart(left, right)
+                self.older_pairs, self.pairs = self.pairs, {}
+            self.pairs[left, right] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -112,17 +128,18 @@ class Codec:
             return [whole]
         chars, end = piece.decode("latin-1"), len(piece)
         longest, shorter, sizes, pairs = self.matcher.iter_long, self.shorter, self.sizes, self.pairs
-        # Most often the longest tokens fit as they come.
+        # Often the longest tokens fit as they come; else the walk goes on at the first that does not.
         ids = [token for _, token in longest(chars)]
-        for pair in zip(ids, ids[1:]):
+        for i, pair in enumerate(zip(ids, ids[1:]), 1):
             fits = pairs.get(pair)
             if not fits and (fits is not None or not self._compatible(*pair)):
                 break
         else:
             return ids
         dead = set()  # places from which no way leads to the end
-        ids: list[int] = []
-        at, token = 0, next(longest(chars, 0))[1]
+        token = shorter[ids[i]]
+        del ids[i:]
+        at = sum(map(sizes.__getitem__, ids))
         while True:
             last = ids[-1] if ids else -1
             while token >= 0:
@@ -144,16 +161,40 @@ class Codec:
                 at -= sizes[token]
                 token = shorter[token]
 
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of one match, remembered if it is short."""
+        packed = self.pieces.get(piece)
+        if packed is None:
+            packed = self.older_pieces.get(piece)
+            if packed is None:
+                ids = self.encode_piece(piece.encode("utf-8"))
+                packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= LONGEST:
+                if len(self.pieces) >= REMEMBERED:
+                    self.older_pieces, self.pieces = self.pieces, {}
+                self.pieces[piece] = packed
+        return packed
+
     def _pieces(self, text: str) -> bytes:
-        encode = self.encode_piece
-        ids = [rank for piece in self.split.findall(text) for rank in encode(piece.encode("utf-8"))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self._piece, self.split.findall(text)))
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word and the space before it; None if it begins or ends with white space, which binds otherwise."""
+        if not word.strip(self.letters):
+            return self._piece(" " + word) if word else None
+        if word[0].isspace() or word[-1].isspace():
+            return None
+        # Letters and then marks are two matches, and the first is a word that comes without them too.
+        core = word.rstrip(MARKS)
+        if core and not core.strip(self.letters):
+            return self._piece(" " + core) + self._piece(word[len(core) :])
+        return self._pieces(" " + word)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; empty for a null or empty text.
 
-        Where ``cut`` holds, a text without other white space beside a space is taken word by word, and words that
-        come again are looked up.
+        Where ``cut`` holds, a text without other white space beside a space is taken word by word. The words met most are
+        looked up as they are, others as their matches, which repeat more.
         """
         if not text:
             return b""
@@ -167,15 +208,12 @@ class Codec:
         for word in rest:
             packed = known.get(word)
             if packed is None:
-                if not word or word[0].isspace() or word[-1].isspace():
-                    return self._pieces(text)
-                packed = self.older.get(word)
+                packed = self._word(word)
                 if packed is None:
-                    packed = self._pieces(" " + word)
-                if len(word) <= 48:
-                    if len(known) >= REMEMBERED:
-                        self.older, known = known, {}
-                        self.words = known
+                    return self._pieces(text)
+                if len(word) <= LONGEST:
+                    if len(known) >= HOT_WORDS:
+                        known.clear()
                     known[word] = packed
             out.append(packed)
         return b"".join(out)
@@ -184,6 +222,26 @@ class Codec:
         """Bytes of packed ids."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
 
+    def decode_all(self, packed: pa.Array) -> pa.Array:
+        """``decode`` of each."""
+        packed = pc.fill_null(packed.cast(pa.large_binary()), b"")
+        ends = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + packed.offset + 1)[packed.offset :]
+        ids = np.frombuffer(packed.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].copy().view("<u4")
+        tokens = self.table.take(pa.array(ids))
+        at = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)[(ends - ends[0]) // 4]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(packed), [None, pa.py_buffer(np.ascontiguousarray(at)), tokens.buffers()[2]])
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of rows of at most about SLICE bytes, or one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        end = max(int(np.searchsorted(sizes, before + SLICE, side="right")), start + 1)
+        yield texts.slice(start, end - start)
+        start = end
+
 
 def codec(path: str, pattern: str) -> Codec:
     return per_process(("codec", path, pattern), lambda: Codec(path, pattern))
@@ -211,7 +269,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "id
     @F.arrow_udf("binary")
     def bytes_of(packed: pa.Array) -> pa.Array:
         coder = codec(path, pattern)
-        return pa.array([coder.decode(i) for i in strings(packed)], pa.binary())
+        return pa.chunked_array([coder.decode_all(part).cast(pa.binary()) for part in slices(packed)], pa.binary()).combine_chunks()
 
     return encoded.withColumn(out, bytes_of(F.col(ids)))
 
