@@ -346,7 +346,7 @@ def density_clusters(spark, sf):
 def ward_tree(spark, sf):
     """Ward tree over the means of the labels."""
     centres = materialise(S.centroids(labelled_vectors(spark, sf), vector_labels(spark, sf)), "centres")
-    return H.tree_document(H.ward_linkage(centres), centres)[0]
+    return H.tree_document(H.ward_linkage(centres), centres)[0].withColumn("distance", F.round("distance", 6))
 
 
 def turn_heads(spark, sf) -> DataFrame:
@@ -371,7 +371,8 @@ def average_tree(spark, sf):
 def tree_json(spark, sf):
     """Lines of the nested document."""
     heads = turn_heads(spark, sf)
-    return H.tree_document(H.average_linkage(H.representative_distances(heads), heads), heads)[1]
+    merges = H.average_linkage(H.representative_distances(heads), heads)
+    return H.tree_document(merges.withColumn("distance", F.round("distance", 6)), heads)[1]
 
 
 # -- terms and encoders --------------------------------------------------------------------------

@@ -140,6 +140,66 @@ CONDENSED = f"""{LINKED},
     SELECT c.cluster, coalesce(p.chosen, CASE WHEN t.kept THEN c.cluster END) FROM clusters c JOIN picked p ON c.parent = p.cluster JOIN total t ON t.cluster = c.cluster)"""
 
 
+def linkage(leaves: str, pairs: str, dist: str, rest: bool) -> str:
+    """tree (node_id, left_id, right_id, distance, size) over ``leaves`` (leaf) from ``pairs`` (a, b, value).
+
+    Rounds that merge every pair of clusters that are each other's nearest; a cluster is named by its smallest leaf. ``dist``
+    is the distance by ``total`` (of the values between), sizes ``na``, ``nb`` and values within, ``wa``, ``wb``. With ``rest``,
+    what no pair links is joined at distance 1 in the order of the names.
+    """
+    links = f"""SELECT *, {dist} AS d FROM (
+      SELECT x.round, least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, sum(value) AS total FROM w x JOIN pair ON pair.a = x.leaf JOIN w y ON y.leaf = pair.b
+        AND y.round = x.round WHERE x.c <> y.c GROUP BY ALL)
+      JOIN (SELECT round, c AS a, count(*) AS na FROM w GROUP BY ALL) USING (round, a) JOIN (SELECT round, c AS b, count(*) AS nb FROM w GROUP BY ALL) USING (round, b)
+      LEFT JOIN (SELECT x.round, x.c AS a, sum(value) AS wa FROM w x JOIN pair ON pair.a = x.leaf JOIN w y ON y.leaf = pair.b AND y.round = x.round AND y.c = x.c GROUP BY ALL) USING (round, a)
+      LEFT JOIN (SELECT x.round, x.c AS b, sum(value) AS wb FROM w x JOIN pair ON pair.a = x.leaf JOIN w y ON y.leaf = pair.b AND y.round = x.round AND y.c = x.c GROUP BY ALL) USING (round, b)"""
+    mutual = """SELECT round, a, b, d, na + nb AS size FROM (
+        SELECT *, row_number() OVER (PARTITION BY round, a, b) AS copy, count(*) OVER (PARTITION BY round, a, b) AS n FROM (
+          SELECT *, row_number() OVER (PARTITION BY round, c ORDER BY round(d, 12), a, b) AS near FROM (
+            SELECT *, unnest([a, b]) AS c FROM ({links}))) WHERE near = 1) WHERE n = 2 AND copy = 1"""
+    tops = f"""tops AS (SELECT c, count(*) AS size, row_number() OVER (ORDER BY c) - 1 AS i FROM w WHERE round = (SELECT max(round) FROM w) GROUP BY c),
+  joined AS (SELECT round, a, b, d, size FROM merged UNION ALL
+    SELECT (SELECT max(round) FROM w) + i - 1, (SELECT min(c) FROM tops), c, 1.0, CAST(sum(size) OVER (ORDER BY c) AS BIGINT) FROM tops QUALIFY i > 0)""" if rest else "joined AS (SELECT round, a, b, d, size FROM merged)"
+    return f"""pair AS MATERIALIZED ({pairs}),
+  w(round, leaf, c) AS (
+    SELECT 0, leaf, leaf FROM ({leaves}) UNION ALL
+    SELECT w.round + 1, leaf, coalesce(m.a, c) FROM w LEFT JOIN ({mutual.format(links=links)}) m ON m.b = w.c WHERE EXISTS (FROM ({mutual.format(links=links)}))),
+  merged AS MATERIALIZED ({mutual.format(links=links)}),
+  {tops},
+  numbered AS (SELECT *, row_number() OVER (ORDER BY d, round, a) - 1 + (SELECT count(*) FROM ({leaves})) AS node_id FROM joined),
+  ids AS (SELECT leaf AS c, -1 AS round, row_number() OVER (ORDER BY leaf) - 1 AS id FROM ({leaves}) UNION ALL SELECT a, round, node_id FROM numbered),
+  halves AS (SELECT node_id, d, size, n.round, unnest([a, b]) AS c FROM numbered n),
+  tree AS MATERIALIZED (SELECT node_id, min(id) AS left_id, max(id) AS right_id, round(any_value(d), 6) AS distance, any_value(size) AS size FROM (
+    SELECT s.node_id, s.d, s.size, arg_max(i.id, i.round) AS id FROM halves s JOIN ids i ON i.c = s.c AND i.round < s.round GROUP BY s.node_id, s.c, s.d, s.size) GROUP BY node_id)"""
+
+
+HEADS = f"""{TURN_LABELS}, heads AS (SELECT cluster, min(id) AS id FROM labels WHERE cluster <> -1 GROUP BY cluster),
+  reps AS MATERIALIZED (SELECT cluster, sig FROM heads JOIN sigs USING (id))"""
+ALIKE = f"""SELECT x.cluster AS a, y.cluster AS b, list_sum(list_transform(range(1, {NUM_PERM + 1}), lambda i: CASE WHEN x.sig[i] = y.sig[i] THEN 1 ELSE 0 END)) / {NUM_PERM}.0 AS value
+      FROM reps x JOIN reps y ON x.cluster < y.cluster WHERE value > 0"""
+AVERAGE = f"{HEADS}, {linkage('SELECT cluster AS leaf FROM reps', ALIKE, '1 - total / (na * nb)', True)}"
+WARD = f"""WITH RECURSIVE {SHIFTED}, cell AS (SELECT label AS leaf, CAST(unnest(range(len(vec))) AS INTEGER) AS pos, unnest(vec) AS x FROM p JOIN embeddings ON vec_id = id),
+  centre AS MATERIALIZED (SELECT leaf, list(x ORDER BY pos) AS vec FROM (SELECT leaf, pos, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY leaf),
+  {linkage("SELECT leaf FROM centre", "SELECT x.leaf AS a, y.leaf AS b, list_distance(x.vec, y.vec) ^ 2 AS value FROM centre x JOIN centre y ON x.leaf < y.leaf",
+           "sqrt(2 * na * nb / (na + nb) * greatest(total / (na * nb) - coalesce(wa, 0) / (na * na) - coalesce(wb, 0) / (nb * nb), 0))", False)}"""
+# A subtree of L leaves takes 10 L - 6 lines.
+LINES = f"""{AVERAGE}, names AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS id FROM reps),
+  sizes AS (SELECT node_id AS id, size FROM tree UNION ALL SELECT id, 1 FROM names),
+  spot(id, line_no, depth, side) AS (
+    SELECT max(node_id), CAST(0 AS BIGINT), 0, '' FROM tree UNION ALL
+    SELECT CASE k WHEN 0 THEN left_id ELSE right_id END, line_no + 3 + CASE k WHEN 0 THEN 0 ELSE 10 * z.size - 6 END, depth + 1, CASE k WHEN 0 THEN ',' ELSE '' END
+    FROM spot JOIN tree ON node_id = id JOIN sizes z ON z.id = left_id, range(2) r(k)),
+  drawn AS (SELECT s.line_no, repeat('    ', depth) AS pad, side, cluster, distance, 10 * z.size - 6 AS n,
+    CASE WHEN cluster IS NOT NULL THEN 'cluster_' || cluster WHEN depth = 0 THEN 'root' ELSE 'node_' || s.id END AS name
+    FROM spot s JOIN sizes z USING (id) LEFT JOIN names USING (id) LEFT JOIN tree ON node_id = s.id)
+  SELECT line_no, pad || '{{' AS line FROM drawn UNION ALL
+  SELECT line_no + 1, pad || '  "name": "' || name || '",' FROM drawn UNION ALL
+  SELECT line_no + 2, pad || '  ' || CASE WHEN cluster IS NULL THEN '"children": [' ELSE '"cluster_id": ' || cluster END FROM drawn UNION ALL
+  SELECT line_no + n - 3, pad || '  ],' FROM drawn WHERE cluster IS NULL UNION ALL
+  SELECT line_no + n - 2, pad || '  "distance": ' || distance FROM drawn WHERE cluster IS NULL UNION ALL
+  SELECT line_no + n - 1, pad || '}}' || side FROM drawn"""
+
+
 def term_counts(source: str) -> str:
     """counts (id, term, tf) of word-bounded grams of ``source`` (id, c)."""
     parts = " UNION ALL ".join(
@@ -223,6 +283,9 @@ ORACLES = {
       found AS (SELECT id, chosen FROM inside JOIN walk USING (x) JOIN picked USING (cluster) WHERE NOT big AND chosen IS NOT NULL),
       numbers AS (SELECT chosen, row_number() OVER (ORDER BY min(id)) - 1 AS n FROM found GROUP BY chosen)
       SELECT p.id, CAST(coalesce(n, -1) AS INTEGER) AS cluster FROM p LEFT JOIN found USING (id) LEFT JOIN numbers USING (chosen)""",
+    "average_tree": f"{AVERAGE} SELECT * FROM tree",
+    "ward_tree": f"{WARD} SELECT * FROM tree",
+    "tree_json": LINES,
     "representative_distances": f"""{TURN_LABELS}, heads AS (SELECT cluster, min(id) AS id FROM labels WHERE cluster <> -1 GROUP BY cluster),
       reps AS (SELECT cluster, sig FROM heads JOIN sigs USING (id))
       SELECT x.cluster AS a, y.cluster AS b, round(1 - list_sum(list_transform(range(1, {NUM_PERM + 1}),
