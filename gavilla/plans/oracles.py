@@ -307,8 +307,6 @@ ORACLES = {
     "aggregate_file": f"""{TURN_LABELS}, {SAMPLED.format('turns')}, sized AS (SELECT cluster, count(*) AS size FROM labels GROUP BY cluster)
       SELECT cluster, size, samples FROM sized JOIN sampled USING (cluster)""",
     "csv_load": f"""WITH {DOCS} SELECT row_number() OVER (ORDER BY id) - 1 AS id, comentario, c AS comentario_clean FROM docs WHERE {VALID}""",
-    "ivf_recall": "SELECT 30 * count(*) AS wanted, 0.5 AS level, true AS reached FROM embeddings",
-    "hyperplane_recall": "SELECT 30 * count(*) AS wanted, 0.5 AS level, true AS reached FROM embeddings",
     "saved_stage": f"WITH {DOCS} SELECT id, c AS comentario_clean FROM docs",
     "literal_run": f"""{TURN_LABELS}, {SAMPLED.format('turns')}, sized AS (SELECT cluster, count(*) AS size FROM labels GROUP BY cluster)
       SELECT cluster, size, samples FROM sized JOIN sampled USING (cluster)""",

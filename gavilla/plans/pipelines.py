@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from gavilla.functions.banding import choose_bands
 from gavilla.functions.vectors import as_float
 from gavilla.operators import components as C, density as D, encode as E, hierarchy as H, keys as K, minhash as M, neighbours as N, summary as S, tfidf as TF
+from gavilla.operators.descent import descent_topk
 from gavilla.operators.prepare import load_and_clean
 from gavilla.session import materialise
 from gavilla.sources import files
@@ -34,7 +35,8 @@ class Config:
     # Name of a callable encoder; asked for where stages are saved, since code cannot be told apart by itself.
     encoder_id: str | None = None
     exact: bool = True
-    # How the semantic run finds neighbours: "exact", "ivf" or "hyperplane".
+    # How the semantic run finds neighbours: "exact", "descent", "ivf" or "hyperplane". With the approximate ones core distances
+    # are those among the neighbours found; the tree over them stays exact, unless ``exact`` is False.
     neighbours: str = "exact"
     nprobe: int = N.PROBE
     n_min: int = 3
@@ -126,7 +128,8 @@ def _neighbours(vectors: DataFrame, config: Config) -> DataFrame | None:
         return None
     k = max(config.top_k, D.MIN_SAMPLES)
     reps, _ = N.distinct_vectors(vectors)
-    found = N.ivf_topk(reps, k, nprobe=config.nprobe) if config.neighbours == "ivf" else N.hyperplane_topk(reps, k)
+    find = {"ivf": lambda: N.ivf_topk(reps, k, nprobe=config.nprobe), "hyperplane": lambda: N.hyperplane_topk(reps, k), "descent": lambda: descent_topk(reps, k)}
+    found = find[config.neighbours]()
     # Of unit vectors; rounding may lift a product above 1.
     return found.select("id", "rank", "nbr_id", F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0))).alias("dist"))
 
@@ -134,7 +137,7 @@ def _neighbours(vectors: DataFrame, config: Config) -> DataFrame | None:
 def run_coseno(texts: DataFrame, config: Config = Config(), output: str | None = None, checkpoints: str | None = None) -> Result:
     """Semantic clusters of (id, comentario, comentario_clean)."""
     keys = texts.select("id", "comentario_clean")
-    if config.neighbours not in ("exact", "ivf", "hyperplane"):
+    if config.neighbours not in ("exact", "ivf", "hyperplane", "descent"):
         raise ValueError(f"unknown neighbours {config.neighbours!r}")
     name = config.encoder if isinstance(config.encoder, str) else config.encoder_id
     if name is None and checkpoints is not None:

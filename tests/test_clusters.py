@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gavilla.functions import text as T
 from gavilla.operators import components as C, density as D, hierarchy as H, minhash as M, neighbours as N, summary as S
+from gavilla.operators.descent import descent_topk
 from tests import brute
 from tests.test_merge_tree import plain as plain_merges
 
@@ -192,3 +193,37 @@ def test_trees_of_none_and_one(spark):
         merges, lines = H.tree_document(H.average_linkage(spark.createDataFrame([], "a bigint, b bigint, dist double"), clusters), clusters)
         text = "\n".join(r["line"] for r in lines.orderBy("line_no").collect())
         assert json.loads(text) == {"name": name, "children": []} and merges.count() == 0
+
+
+def test_descent_finds_the_neighbours(spark, blobs):
+    """Copies, a point that many name, and fewer points than list places."""
+    x = np.random.RandomState(6).normal(size=(400, 16))
+    x = np.concatenate([x / np.linalg.norm(x, axis=1)[:, None], np.repeat(x[:1] / np.linalg.norm(x[0]), 30, 0)])
+    sim = x @ x.T
+    np.fill_diagonal(sim, -9)
+    rows = descent_topk(vectors(spark, x), 10).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["id"], []).append(r)
+        assert abs(sim[r["id"], r["nbr_id"]] - r["sim"]) < 1e-9
+    worst = np.sort(sim, axis=1)[:, -10]
+    hits = [np.mean([r["sim"] >= worst[i] - 1e-9 for r in found[i]]) for i in range(len(x))]
+    assert len(rows) == 10 * len(x) and np.mean(hits) > 0.95
+    few = descent_topk(vectors(spark, x[:4]), 10).collect()
+    assert sorted((r["id"], r["nbr_id"]) for r in few) == [(i, j) for i in range(4) for j in range(4) if i != j]
+    assert descent_topk(vectors(spark, x[:1]), 10).count() == 0
+
+
+def test_tree_over_approximate_neighbours_is_exact_for_its_core_distances(spark, blobs):
+    """Lists that miss near points: with the bound of exact lists the tree would miss them too."""
+    x = np.unique(blobs, axis=0)
+    dist = brute.pairwise(x)
+    r = np.random.RandomState(0)
+    knn = [(i, rank, int(j), float(dist[i, j])) for i in range(len(x)) for rank, j in enumerate(sorted(r.choice([k for k in range(len(x)) if k != i], 8, False), key=lambda j: dist[i, j]), 1)]
+    lists = spark.createDataFrame(knn, "id bigint, rank int, nbr_id bigint, dist double")
+    _, tree, _ = D.density_graph(vectors(spark, x), 8, knn=lists)
+    core = {r["id"]: r["core"] for r in D.core_distances(lists).collect()}
+    c = np.array([core[i] for i in range(len(x))])
+    weight = np.maximum(dist, np.maximum(c[:, None], c[None]))
+    np.fill_diagonal(weight, np.inf)
+    assert np.abs(np.sort([r["weight"] for r in tree.collect()]) - brute.prim(weight)).max() < 1e-9
