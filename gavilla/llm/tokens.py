@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from gavilla.llm.common import free_name, per_process, strings
 
-# Entries of a memory of matches or pairs; a fuller one is put aside and then dropped. Words as they come have a smaller one,
-# which is emptied. Results do not depend on them.
-REMEMBERED, HOT_WORDS = 250_000, 100_000
+# Entries of a memory of matches, of pairs, and of words as they come; a fuller one is put aside and then dropped. Results do not
+# depend on them.
+REMEMBERED, PAIRS, HOT_WORDS = 250_000, 150_000, 120_000
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(17)]
 # Characters of the longest word that is remembered, and bytes that are decoded at a time.
 LONGEST, SLICE = 48, 1 << 21
 # Marks that are neither letter, number nor white space, nor begin a contraction.
@@ -74,9 +75,10 @@ class Codec:
         self.sizes = [len(self.bytes_of.get(rank, b"")) for rank in range(top + 1)]
         self.shorter = [shorter.get(rank, -1) for rank in range(top + 1)]
         self.pairs, self.older_pairs = {}, {}
-        self.words, self.pieces, self.older_pieces = {}, {}, {}
-        # Letters of which a word is one match of these patterns.
-        self.letters = "".join(c for c in map(chr, range(0x250)) if regex.match(r"\p{L}", c)) if self.cut else ""
+        self.words, self.older_words, self.pieces, self.older_pieces = {}, {}, {}, {}
+        # A word of letters is one match of these patterns; characters that Python and the patterns do not agree on.
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        self.unsure = frozenset(regex.findall(r"\p{L}", every)) ^ frozenset(filter(str.isalpha, every)) if self.cut else frozenset()
         # Bytes of each rank by its place; null where there is none.
         table = [self.bytes_of.get(rank) for rank in range(max(self.bytes_of, default=-1) + 1)]
         self.table = pa.array(table, pa.large_binary())
@@ -116,7 +118,7 @@ class Codec:
             known = self.older_pairs.get((left, right))
             if known is None:
                 known = self._stay_apart(left, right)
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= PAIRS:
                 self.older_pairs, self.pairs = self.pairs, {}
             self.pairs[left, right] = known
         return known
@@ -168,7 +170,7 @@ class Codec:
             packed = self.older_pieces.get(piece)
             if packed is None:
                 ids = self.encode_piece(piece.encode("utf-8"))
-                packed = struct.pack(f"<{len(ids)}I", *ids)
+                packed = PACKS[len(ids)](*ids) if len(ids) < len(PACKS) else struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= LONGEST:
                 if len(self.pieces) >= REMEMBERED:
                     self.older_pieces, self.pieces = self.pieces, {}
@@ -178,15 +180,18 @@ class Codec:
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.split.findall(text)))
 
+    def _lettered(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or self.unsure.isdisjoint(word))
+
     def _word(self, word: str) -> bytes | None:
         """Ids of a word and the space before it; None if it begins or ends with white space, which binds otherwise."""
-        if not word.strip(self.letters):
-            return self._piece(" " + word) if word else None
-        if word[0].isspace() or word[-1].isspace():
+        if self._lettered(word):
+            return self._piece(" " + word)
+        if not word or word[0].isspace() or word[-1].isspace():
             return None
         # Letters and then marks are two matches, and the first is a word that comes without them too.
         core = word.rstrip(MARKS)
-        if core and not core.strip(self.letters):
+        if self._lettered(core) and len(core) < len(word):
             return self._piece(" " + core) + self._piece(word[len(core) :])
         return self._pieces(" " + word)
 
@@ -200,7 +205,7 @@ class Codec:
             return b""
         if not self.cut:
             return self._pieces(text)
-        known, out = self.words, []
+        known, older, out = self.words, self.older_words, []
         first, *rest = text.split(" ")
         if not first or first[-1].isspace():
             return self._pieces(text)
@@ -208,12 +213,15 @@ class Codec:
         for word in rest:
             packed = known.get(word)
             if packed is None:
-                packed = self._word(word)
+                packed = older.get(word)
                 if packed is None:
-                    return self._pieces(text)
+                    packed = self._word(word)
+                    if packed is None:
+                        return self._pieces(text)
                 if len(word) <= LONGEST:
                     if len(known) >= HOT_WORDS:
-                        known.clear()
+                        older, known = known, {}
+                        self.older_words, self.words = older, known
                     known[word] = packed
             out.append(packed)
         return b"".join(out)
