@@ -24,7 +24,6 @@ from gavilla.llm.common import free_name, per_process, strings
 # Entries of a memory of matches, of pairs, and of words as they come; a fuller one is put aside and then dropped. Results do not
 # depend on them.
 REMEMBERED, PAIRS, HOT_WORDS = 250_000, 150_000, 120_000
-PACKS = [struct.Struct(f"<{n}I").pack for n in range(17)]
 # Characters of the longest word that is remembered, and bytes that are decoded at a time.
 LONGEST, SLICE = 48, 1 << 21
 # Marks that are neither letter, number nor white space, nor begin a contraction.
@@ -76,6 +75,7 @@ class Codec:
         self.shorter = [shorter.get(rank, -1) for rank in range(top + 1)]
         self.pairs, self.older_pairs = {}, {}
         self.words, self.older_words, self.pieces, self.older_pieces = {}, {}, {}, {}
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(17)]
         # A word of letters is one match of these patterns; characters that Python and the patterns do not agree on.
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         self.unsure = frozenset(regex.findall(r"\p{L}", every)) ^ frozenset(filter(str.isalpha, every)) if self.cut else frozenset()
@@ -170,7 +170,7 @@ class Codec:
             packed = self.older_pieces.get(piece)
             if packed is None:
                 ids = self.encode_piece(piece.encode("utf-8"))
-                packed = PACKS[len(ids)](*ids) if len(ids) < len(PACKS) else struct.pack(f"<{len(ids)}I", *ids)
+                packed = self.packs[len(ids)](*ids) if len(ids) < len(self.packs) else struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= LONGEST:
                 if len(self.pieces) >= REMEMBERED:
                     self.older_pieces, self.pieces = self.pieces, {}
