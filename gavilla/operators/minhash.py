@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gavilla.functions import text as T
-from gavilla.operators.keys import attach, spread
+from gavilla.operators.keys import HOT_SLOTS, attach, spread
 from gavilla.session import materialise
 
 # Elements of one (permutation, gram) block held while a signature is computed.
 BLOCK_GRAMS = 8192
 
+# A bucket of fewer entries is never cut.
+LEAST_PART = 1000
+
 
 def coefficients(num_perm: int, seed: int = 1) -> list[tuple[int, int]]:
     """(a, b) of h -> (a * h + b) mod PRIME per permutation."""
@@ -107,9 +110,22 @@ def bucket_collisions(entries: DataFrame) -> DataFrame:
 
 
 def query_candidates(probes: DataFrame, entries: DataFrame) -> DataFrame:
-    """(probe_id, id): indexed ids sharing a bucket with each probe entry (band, bucket, id)."""
-    asked = probes.withColumnRenamed("id", "probe_id")
-    return asked.join(entries, ["band", "bucket"]).select("probe_id", "id").distinct()
+    """(probe_id, id): indexed ids sharing a bucket with each probe entry (band, bucket, id).
+
+    A bucket above total / HOT_SLOTS entries is cut into parts of that many, by a hash of the id, and its probes
+    go to each of them: every match is found, and no task holds a whole bucket however many rows share it.
+    """
+    asked = materialise(probes.withColumnRenamed("id", "probe_id"), "probes")
+    # Only buckets that are asked for matter.
+    entries = materialise(entries.join(asked.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi"), "probed")
+    limit = max(entries.count() // HOT_SLOTS, LEAST_PART)
+    hot = materialise(bucket_sizes(entries).where(F.col("n") > limit).select("band", "bucket", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "hot")
+    hot = F.broadcast(hot)  # fewer than HOT_SLOTS rows
+    spot = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = entries.join(hot, ["band", "bucket"], "left").select("band", "bucket", spot.alias("part"), "id")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    sent = asked.join(hot, ["band", "bucket"], "left").select("band", "bucket", every.alias("part"), "probe_id")
+    return sent.join(dealt, ["band", "bucket", "part"]).select("probe_id", "id").distinct()
 
 
 def estimated_jaccard(left: Column, right: Column) -> Column:

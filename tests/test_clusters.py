@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavilla.functions import text as T
-from gavilla.operators import components as C, density as D, hierarchy as H, minhash as M, neighbours as N, summary as S
+from gavilla.operators import components as C, density as D, hierarchy as H, minhash as M, neighbours as N, summary as S, tfidf as TF
 from gavilla.operators.descent import descent_topk
 from tests import brute
 from tests.test_merge_tree import plain as plain_merges
@@ -74,6 +74,28 @@ def test_star_edges_of_hot_buckets(spark):
     assert found == {(i, h) for i, h in wanted if i != h}
 
 
+def test_probes_of_a_hot_bucket(spark, monkeypatch):
+    """A third of all rows share a bucket that most probes ask for; cut into parts it gives the same pairs."""
+    rows = [(0, "hot" if i % 3 == 0 else f"b{i % 400}", i) for i in range(3000)]
+    asked = [(0, "hot", p) for p in range(5)] + [(0, "b7", 0), (0, "b10", 9), (0, "none", 3), (1, "hot", 8)]
+    wanted = {(p, i) for band, bucket, p in asked for b, other, i in rows if (b, other) == (band, bucket)}
+    frames = [spark.createDataFrame(x, "band int, bucket string, id bigint") for x in (asked, rows)]
+    for part in (M.LEAST_PART, 16):
+        monkeypatch.setattr(M, "LEAST_PART", part)
+        found = M.query_candidates(*frames).collect()
+        assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+
+
+def test_vocabulary_cut_with_ties(spark):
+    r = np.random.RandomState(2)
+    totals = {f"t{i}": int(x) for i, x in enumerate(r.choice([1, 1, 1, 2, 5, 900, 70_000, 70_001, 3_000_000], 300))}
+    counts = spark.createDataFrame([(0, t, n - n // 3) for t, n in totals.items()] + [(1, t, n // 3) for t, n in totals.items() if n // 3], "id bigint, term string, tf bigint")
+    for limit in (1, 40, 150, 260, 299, 300, 999):
+        found = [(x["term"], x["total"]) for x in TF.vocabulary(counts, limit).collect()]
+        assert sorted(found) == sorted(sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:limit])
+    assert TF.vocabulary(counts.limit(0), 5).count() == 0
+
+
 def test_topk_with_a_large_group_of_copies(spark):
     r = np.random.RandomState(1)
     x = r.normal(size=(60, 5))
