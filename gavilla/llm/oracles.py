@@ -74,7 +74,7 @@ SPLIT = r"[^\p{L}\p{N}\p{M}\x01\x03]+"
 
 def _marked(table: str, key: str) -> str:
     """Steps a, b, c, ... of the marked text of ``table``; each column is written once and read by the next."""
-    clean = "translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), '   ')"
+    clean = r"regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), '   '), '[\x09-\x0D ]+', ' ', 'g')"
     decimal = r"regexp_replace({}, '([0-9])[.,]([0-9])', '\1' || chr(3) || '\2', 'g')"
     number = rf"'([0-9][0-9\x03]*)(?: ?((?i){UNITS})([^\p{{L}}\p{{N}}\x03]|$))?'"
     name = r"""regexp_replace({}, '([\p{{L}}\p{{N}},;)"''] )(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(1) || 'p\2', 'g')"""
@@ -109,7 +109,8 @@ dw AS (
     SELECT doc_id, names, size, unnest(range(1, len(names) - size + 2)) AS place FROM d, (SELECT DISTINCT size FROM item))
 ),
 line AS (
-  SELECT doc_id, item_id, place - spot AS shift, list(DISTINCT spot) AS ats, max(size) AS size, bool_or(slots) AS slots
+  SELECT doc_id, item_id, place - spot AS shift, list(DISTINCT spot) AS ats, max(size) AS size, bool_or(slots) AS slots,
+    list(DISTINCT spot) FILTER (WHERE NOT slots) AS literal
   FROM dw JOIN item USING (size, win) GROUP BY ALL
 ),
 pair AS (
@@ -118,7 +119,7 @@ pair AS (
   JOIN d USING (doc_id) JOIN b USING (item_id) WHERE b.raw[p][1] = chr(1)
 ),
 kept AS (
-  SELECT doc_id, item_id, ats, false AS changed FROM line WHERE NOT slots
+  SELECT doc_id, item_id, literal AS ats, false AS changed FROM line WHERE literal IS NOT NULL
   UNION ALL
   SELECT doc_id, item_id, ats, changed FROM line JOIN (
     SELECT doc_id, item_id, shift, bool_or(x <> y) AS changed FROM pair GROUP BY ALL
