@@ -25,6 +25,7 @@ from gavilla.operators.keys import attach
 from gavilla.session import materialise, scratch_root
 
 BUNDLE_BYTES = 32 << 20  # payload that goes into one bundle, about
+READ_BYTES = 16 << 20  # record bytes that one task reads back, about
 FRAME_BYTES = 256 << 10  # records are added to a frame until it has this many bytes
 # Magic numbers of the seekable format, profile of revisit records, start of record ids.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -189,7 +190,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_pylist(found, schema)
 
-    dealt = index.select("bundle", "frame", "place", "bytes").repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "place")
+    # The index is tiny beside the payloads, so the number of tasks follows what they will read.
+    parts = 1 + int(index.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES
+    dealt = index.select("bundle", "frame", "place", "bytes").repartition(parts, "bundle", "frame").sortWithinPartitions("bundle", "frame", "place")
     return dealt.mapInArrow(read, RECORDS)
 
 
