@@ -439,10 +439,10 @@ def aggregate_file(spark, sf):
 
 
 def csv_load(spark, sf):
-    """Documents written as one CSV file, read by header name, cleaned and numbered."""
+    """Documents written as CSV files in the order of their ids, read by header name, cleaned and numbered."""
     folder = f"{scratch_root(spark)}/gavilla/csv-{uuid.uuid4().hex}"
     source = documents(spark, sf).select("id", "comentario", F.lit("x").alias("other"))
-    source.coalesce(1).sortWithinPartitions("id").write.options(header=True, quote='"', escape='"', quoteAll=True).csv(folder)
+    source.repartitionByRange("id").sortWithinPartitions("id").write.options(header=True, quote='"', escape='"', quoteAll=True).csv(folder)
     return P.load_and_clean(FI.read_csv_texts(spark, folder), FI.POSITION)
 
 
