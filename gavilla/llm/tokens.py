@@ -23,7 +23,7 @@ from gavilla.llm.common import free_name, per_process, strings
 
 # Entries of a memory of matches, of pairs, and of words as they come; a fuller one is put aside and then dropped. Results do not
 # depend on them.
-REMEMBERED, PAIRS, HOT_WORDS = 250_000, 150_000, 120_000
+REMEMBERED, PAIRS, HOT_WORDS = 150_000, 100_000, 60_000
 # Characters of the longest word that is remembered, and bytes that are decoded at a time.
 LONGEST, SLICE = 48, 1 << 21
 # Marks that are neither letter, number nor white space, nor begin a contraction.
