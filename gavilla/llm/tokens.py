@@ -9,6 +9,7 @@ Pairs repeat a great deal, so their compatibility is remembered.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -21,11 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from gavilla.llm.common import free_name, per_process, strings
 
-# Entries of a memory of matches, of pairs, and of words as they come; a fuller one is put aside and then dropped. Results do not
-# depend on them.
-REMEMBERED, PAIRS, HOT_WORDS = 150_000, 100_000, 60_000
-# Characters of the longest word that is remembered, and bytes that are decoded at a time.
-LONGEST, SLICE = 48, 1 << 21
+# Entries of a memory of matches and of pairs; a fuller one is put aside and then dropped. Results do not depend on them.
+REMEMBERED, PAIRS = 150_000, 100_000
+# Characters of the longest match that is remembered, and bytes that are encoded or decoded at a time.
+LONGEST, ENCODED, DECODED = 48, 1 << 23, 1 << 21
 # Marks that are neither letter, number nor white space, nor begin a contraction.
 MARKS = ".,;:!?"
 
@@ -74,7 +74,7 @@ class Codec:
         self.sizes = [len(self.bytes_of.get(rank, b"")) for rank in range(top + 1)]
         self.shorter = [shorter.get(rank, -1) for rank in range(top + 1)]
         self.pairs, self.older_pairs = {}, {}
-        self.words, self.older_words, self.pieces, self.older_pieces = {}, {}, {}, {}
+        self.pieces, self.older_pieces = {}, {}
         self.packs = [struct.Struct(f"<{n}I").pack for n in range(17)]
         # A word of letters is one match of these patterns; characters that Python and the patterns do not agree on.
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -196,35 +196,34 @@ class Codec:
         return self._pieces(" " + word)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; empty for a null or empty text.
+        """Ids as little-endian unsigned 32-bit integers; empty for a null or empty text."""
+        return self.encode_all(pa.array([text], pa.large_string()))[0].as_py()
 
-        Where ``cut`` holds, a text without other white space beside a space is taken word by word. The words met most are
-        looked up as they are, others as their matches, which repeat more.
+    def encode_all(self, texts: pa.Array) -> pa.LargeBinaryArray:
+        """``encode`` of each.
+
+        Where ``cut`` holds, texts are split at spaces, each distinct word is encoded once and the words' ids are gathered. A text
+        with a word that begins or ends with white space, which binds otherwise, is encoded as a whole.
         """
-        if not text:
-            return b""
         if not self.cut:
-            return self._pieces(text)
-        known, older, out = self.words, self.older_words, []
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
-            return self._pieces(text)
-        out.append(self._pieces(first))
-        for word in rest:
-            packed = known.get(word)
-            if packed is None:
-                packed = older.get(word)
-                if packed is None:
-                    packed = self._word(word)
-                    if packed is None:
-                        return self._pieces(text)
-                if len(word) <= LONGEST:
-                    if len(known) >= HOT_WORDS:
-                        older, known = known, {}
-                        self.older_words, self.words = older, known
-                    known[word] = packed
-            out.append(packed)
-        return b"".join(out)
+            return pa.array([self._pieces(text or "") for text in strings(texts)], pa.large_binary())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.split_pattern(texts, " ")
+        starts, words = split.offsets.to_numpy(), split.values.dictionary_encode()
+        at = words.indices.to_numpy().astype(np.int64)
+        firsts, distinct = starts[:-1], words.dictionary.to_pylist()
+        packed = [self._word(word) for word in distinct]
+        # The first word of a text has no space before it.
+        odd = np.fromiter((ids is None for ids in packed), bool, len(packed))
+        whole = np.logical_or.reduceat(odd[at], firsts) if len(firsts) else np.zeros(0, bool)
+        heads = [
+            self._pieces(texts[i].as_py() if uncut else distinct[first])
+            for i, (uncut, first) in enumerate(zip(whole.tolist(), at[firsts].tolist()))
+        ]
+        at[np.repeat(whole, np.diff(starts))] = len(packed)
+        at[firsts] = len(packed) + 1 + np.arange(len(firsts))
+        ids = pa.array([*(ids or b"" for ids in packed), b"", *heads], pa.large_binary())
+        return joined(ids.take(pa.array(at)), starts)
 
     def decode(self, ids: bytes | None) -> bytes:
         """Bytes of packed ids."""
@@ -235,18 +234,22 @@ class Codec:
         packed = pc.fill_null(packed.cast(pa.large_binary()), b"")
         ends = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + packed.offset + 1)[packed.offset :]
         ids = np.frombuffer(packed.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].copy().view("<u4")
-        tokens = self.table.take(pa.array(ids))
-        at = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)[(ends - ends[0]) // 4]
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(packed), [None, pa.py_buffer(np.ascontiguousarray(at)), tokens.buffers()[2]])
+        return joined(self.table.take(pa.array(ids)), (ends - ends[0]) // 4)
+
+
+def joined(parts: pa.LargeBinaryArray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Runs of ``parts``, from each of ``ends`` to the next, put together."""
+    at = np.frombuffer(parts.buffers()[1], np.int64, len(parts) + 1)[ends]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), parts.buffers()[2]])
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Runs of rows of at most about SLICE bytes, or one row."""
+def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Runs of rows of at most about ``most`` bytes, or one row."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(texts):
         before = sizes[start - 1] if start else 0
-        end = max(int(np.searchsorted(sizes, before + SLICE, side="right")), start + 1)
+        end = max(int(np.searchsorted(sizes, before + most, side="right")), start + 1)
         yield texts.slice(start, end - start)
         start = end
 
@@ -266,7 +269,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     @F.arrow_udf("binary")
     def ids_of(texts: pa.Array) -> pa.Array:
         coder = codec(path, pattern)
-        return pa.array([coder.encode(t) for t in strings(texts)], pa.binary())
+        parts = [coder.encode_all(part).cast(pa.binary()) for part in slices(texts, ENCODED)]
+        return pa.chunked_array(parts, pa.binary()).combine_chunks()
 
     return docs.withColumn(out, ids_of(F.col(text).cast("string")))
 
@@ -277,7 +281,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "id
     @F.arrow_udf("binary")
     def bytes_of(packed: pa.Array) -> pa.Array:
         coder = codec(path, pattern)
-        return pa.chunked_array([coder.decode_all(part).cast(pa.binary()) for part in slices(packed)], pa.binary()).combine_chunks()
+        return pa.chunked_array([coder.decode_all(part).cast(pa.binary()) for part in slices(packed, DECODED)], pa.binary()).combine_chunks()
 
     return encoded.withColumn(out, bytes_of(F.col(ids)))
 
@@ -285,22 +289,46 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "id
 DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def _digests(path: str, pattern: str, with_ids: bool):
+    """Column function: DIGESTS of a text's round trip, and its packed ``ids`` if asked for.
+
+    One function does both ways, as Spark would evaluate an encoder twice: for its ids and again inside the decoder's call.
+    """
+    fields = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.binary()} if with_ids else {})
+
+    @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    def digests(texts: pa.Array) -> pa.Array:
+        coder, columns = codec(path, pattern), {name: [] for name in fields}
+        for part in slices(texts, ENCODED):
+            packed = coder.encode_all(part)
+            sizes = pc.divide(pc.binary_length(packed), 4)
+            columns["n_tokens"].append(sizes.cast(pa.int64()))
+            columns["ids_sha256"].append(hashes(packed))
+            columns["decoded_sha256"] += [hashes(coder.decode_all(few)) for few in slices(packed, DECODED)]
+            if with_ids:
+                columns["ids"].append(packed.cast(pa.binary()))
+        whole = [pa.chunked_array(columns[name], kind).combine_chunks() for name, kind in fields.items()]
+        return pa.StructArray.from_arrays(whole, names=list(fields))
+
+    return digests
+
+
+def hashes(values: pa.Array) -> pa.Array:
+    """Lowercase SHA-256 hex of each."""
+    return pa.array([hashlib.sha256(value.as_buffer()).hexdigest() for value in values], pa.string())
+
+
 def with_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with their packed ``ids`` and, of a round trip through them, n_tokens, ids_sha256 and decoded_sha256.
 
     Columns that already have such a name are replaced.
     """
-    back = free_name(docs, "_decoded")
-    coded = decode_documents(encode_documents(docs, path, pattern), path, pattern, out=back)
-    return coded.withColumns(
-        {
-            "n_tokens": (F.octet_length("ids") / 4).cast("bigint"),
-            "ids_sha256": F.sha2("ids", 256),
-            "decoded_sha256": F.sha2(F.col(back), 256),
-        }
-    ).drop(back)
+    trip = free_name(docs, "_trip")
+    coded = docs.withColumn(trip, _digests(path, pattern, True)(F.col("text").cast("string")))
+    return coded.withColumns({name: F.col(f"{trip}.{name}") for name in ["ids", *DIGESTS]}).drop(trip)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return with_digests(docs.select("doc_id", "text"), path, pattern).select("doc_id", *DIGESTS)
+    trip = _digests(path, pattern, False)(F.col("text").cast("string"))
+    return docs.select("doc_id", trip.alias("trip")).select("doc_id", *(F.col(f"trip.{name}") for name in DIGESTS))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -42,6 +43,21 @@ def test_codec_equals_library_on_odd_texts(codec, library):
         assert ids(codec.encode(text)) == library.encode_ordinary(text)
 
 
+def test_batches_equal_library(codec, library):
+    """Nulls, empty texts, texts that are taken whole and parts of a batch, all in one array."""
+    rng = random.Random(9)
+    words = ["the", "thres", "ingly,", "x\ny", "\n", "", "it's", "12.5", "été", "\u00a0z", "a" * 60, "(ok)...", "\x85"]
+    texts = [None, "", " ", *(" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(3000)), " ".join(words * 3000)]
+    wanted = [library.encode_ordinary(text or "") for text in texts]
+    for size in (1 << 30, 2000, 1):
+        array = pa.array(["before", *texts]).slice(1)
+        found = [packed.as_py() for part in tokens.slices(array, size) for packed in codec.encode_all(part)]
+        assert [ids(packed) for packed in found] == wanted
+    assert len(codec.encode_all(pa.array([], pa.string()))) == 0
+    back = codec.decode_all(codec.encode_all(pa.array(texts)).slice(2))
+    assert [value.as_py().decode() for value in back] == [text or "" for text in texts[2:]]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60))
 def test_codec_equals_library(codec, library, text):
