@@ -51,6 +51,9 @@ NAMES = [
     ("gpl", "general public", r"(?:gnu )?general public licen[cs]e"),
     ("gpl-3.0", "gpl", r"(?:gnu )?gpl[- ]?v?3(?:\.0)?(?:-only|-or-later|\+)?"),
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl[- ]?v?2(?:\.0)?(?:-only|-or-later|\+)?"),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation licen[cs]e"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e,? (?:version |v)?2(?:\.0)?"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e,? (?:version |v)?1\.1"),
@@ -98,13 +101,54 @@ CC_TERMS = {
     "by-nc-nd": "attribution[- ]non-?commercial[- ]no ?deriv(?:ative)?s?",
 }
 CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
+# Identifiers of the SPDX list (in lower case, as texts are read), which name a licence after an SPDX tag, in a
+# field or in a grant, but not on their own.
+IDENTIFIERS = """
+0bsd aal afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause
+bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 bzip2-1.0.6 cal-1.0 catosl-1.1 cc0-1.0
+cddl-1.0 cddl-1.1 cecill-2.0 cecill-2.1 cecill-b cecill-c cern-ohl-p-2.0 cern-ohl-s-2.0 cern-ohl-w-2.0 cpal-1.0 cpl-1.0 curl ecl-2.0
+efl-2.0 elastic-2.0 epl-1.0 epl-2.0 eudatagrid eupl-1.1 eupl-1.2 fsfap ftl gfdl-1.1 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0 hpnd icu ijg
+ipl-1.0 isc json lgpl-2.0 lgpl-2.1 lgpl-3.0 libpng-2.0 lpl-1.02 lppl-1.3c miros mit mit-0 mit-cmu mit-modern-variant mpl-1.0 mpl-1.1
+mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa ngpl nokia nposl-3.0 ntp odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 ogl-uk-3.0 oldap-2.8 openssl
+osl-2.1 osl-3.0 parity-7.0.0 pddl-1.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0 sissl sleepycat spl-1.0
+sspl-1.0 tcl ucl-1.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 xfree86-1.1 xnet zlib zpl-2.0 zpl-2.1
+""".split()
+# Sentences of licence texts that tell which one it is, with their label and keyword.
+SENTENCES = [
+    ("mit", "obtaining a copy", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("bsl-1.0", "obtaining a copy", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "with or without fee", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "without a written agreement", r"without fee, and without a written agreement is hereby granted"),
+    ("bsd", "source and binary forms", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd-3-clause", "names of its contributors", r"neither the names? of (?:\S+ ){1,12}nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "mentioning features", r"all advertising materials mentioning features or use of this software must display"),
+    ("zlib", "must not be misrepresented", r"the origin of this software must not be misrepresented"),
+    ("apache-2.0", "in compliance with the", r"you may not use this (?:file|work) except in compliance with the licen[cs]e"),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e, v\. ?2\.0"),
+    ("unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "verbatim or modified", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document, and changing it is allowed"),
+    ("cc0-1.0", "with this deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("ofl-1.1", "font software", r"this font software is licen[cs]ed under the sil open font licen[cs]e"),
+    ("gpl-3.0", "version 3 of the", r"gnu general public licen[cs]e as published by the free software foundation,? either version 3 of the licen[cs]e"),
+    ("gpl-2.0", "version 2 of the", r"gnu general public licen[cs]e as published by the free software foundation; either version 2 of the licen[cs]e"),
+]
 # Statements around a name, with the confidence of a detection; the first is of the highest priority.
 STATEMENTS = [
-    ("tag", r"spdx-license-identifier: ?\(?(?:{name})", 1.0),
-    ("grant", r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|redistribut\w+|modif\w+)(?: it| them)? under(?: the)?(?: terms(?: and conditions)? of)?(?: the)? (?:{name})", 0.95),
-    ("field", r"licen[cs]e ?[:=] ?[\"']?(?:the )?(?:{name})", 0.9),
+    ("tag", r"spdx-license-identifier: ?\(?(?:{name})(?![a-z0-9])", 1.0),
+    ("grant", r"(?<![a-z0-9])(?:licen[cs]ed|released|distributed|available|provided|published|covered|redistribut\w+|modif\w+)(?: it| them)? under(?: the)?(?: terms(?: and conditions)? of)?(?: the)? (?:{name})(?![a-z0-9])", 0.95),
+    ("field", r"(?<![a-z0-9])licen[cs]e ?[:=] ?[\"']?(?:the )?(?:{name})(?![a-z0-9])", 0.9),
     ("mention", r"(?<![a-z0-9])(?:{name})(?![a-z0-9])", 0.6),
 ]
+# The same for identifiers, with what can stand before one, for the gates. An expression after a tag names several
+# licences, so there the span is that of the identifier alone.
+IDENTIFIER_STATEMENTS = [
+    (r"spdx-license-identifier: ?(?:\(*[a-z0-9.+-]+\)* (?:and|or|with) )*\(*(?P<name>{name})", [], 1.0),
+    (STATEMENTS[1][1], ["under ", "of ", "the "], 0.95),
+    (STATEMENTS[2][1], [":", ": ", "=", "= ", "'", '"', "the "], 0.9),
+]
+# What may follow an identifier; "mit.edu" is none.
+IDENTIFIER_END = r"(?:-only|-or-later|\+)?(?![a-z0-9]|\.[a-z0-9])"
+SENTENCE_SCORE = 0.97
 
 
 @dataclass(frozen=True)
@@ -114,26 +158,41 @@ class Rule:
     pattern: re.Pattern
     score: float
 
+    def spans(self, lowered: str) -> list[tuple[int, int]]:
+        """Its detections: whole matches, or what the pattern calls the name."""
+        part = "name" if "name" in self.pattern.groupindex else 0
+        return [m.span(part) for m in self.pattern.finditer(lowered)]
+
 
 def rules() -> list[Rule]:
-    """All rules in order of priority: every statement with every name."""
-    names = list(NAMES)
+    """All rules in order of priority: every statement with every name, then identifiers and sentences of licence texts."""
+    names, identifiers = list(NAMES), list(IDENTIFIERS)
     for term, words in sorted(CC_TERMS.items(), key=lambda x: -len(x[0])):
         spelled = term.replace("-", "[- ]")
         for version in CC_VERSIONS:
             number = re.escape(version)
+            identifiers.append(f"cc-{term}-{version}")
             names.append((f"cc-{term}-{version}", "creative", rf"creative commons {words}(?: \d\.\d)?(?: international| unported)?(?: public)? licen[cs]e,? (?:version |v)?{number}|creative commons {words} {number}|creativecommons\.org/licenses/{term}/{number}"))
             names.append((f"cc-{term}-{version}", "cc", rf"cc[- ]{spelled}[- ]{number}"))
         names.append((f"cc-{term}", "creative", rf"creative commons {words}(?: licen[cs]e)?|creativecommons\.org/licenses/{term}/"))
         names.append((f"cc-{term}", "cc", rf"cc[- ]{spelled}"))
     found = []
     for _, statement, score in STATEMENTS:
-        for label, keyword, name in names:
-            pattern = statement.format(name=name) if "{name}" in statement else statement
-            found.append(Rule(label, keyword, re.compile(pattern.replace(" ?", r"\s?").replace(" ", r"\s+")), score))
+        found += [Rule(label, keyword, spaced(statement.format(name=name)), score) for label, keyword, name in names]
+    for statement, before, score in IDENTIFIER_STATEMENTS:
+        for identifier in identifiers:
+            keyword = "|".join(lead + identifier for lead in before) or "spdx-license-identifier"
+            pattern = statement.format(name=re.escape(identifier) + IDENTIFIER_END)
+            found.append(Rule(identifier, keyword, spaced(pattern), score))
+    found += [Rule(label, keyword, spaced(sentence), SENTENCE_SCORE) for label, keyword, sentence in SENTENCES]
     return found
 
 
+def spaced(pattern: str) -> re.Pattern:
+    """The pattern with each blank as any run of white space."""
+    return re.compile(pattern.replace(" ?", r"\s?").replace(" ", r"\s+"))
+
+
 class Scanner:
     """Rules behind their keywords."""
 
@@ -161,8 +220,7 @@ class Scanner:
         """(start, end, label, score) of the detections that stay, by place."""
         spans = []
         for k in self.ready(lowered):
-            rule = self.rules[k]
-            spans += [(k, m.start(), m.end()) for m in rule.pattern.finditer(lowered)]
+            spans += [(k, start, end) for start, end in self.rules[k].spans(lowered)]
         # A span stays if none that ranks before it holds it. Spans are met by rank; those kept are searched by place.
         spans.sort(key=lambda s: (round(-self.rules[s[0]].score, 2), -(s[2] - s[1]), s[0], s[1]))
         kept: list[tuple[int, int, int]] = []

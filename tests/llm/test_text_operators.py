@@ -189,6 +189,19 @@ def test_licence_rules():
     assert labels("licensed under the GNU Affero General Public License, version 3") == ["agpl-3.0"]
     assert labels("Licensed under CC BY-NC 4.0. Some files: MIT License") == ["cc-by-nc-4.0", "mit"]
     assert labels("the committee will submit a plan") == []
+    for identifier in ("MIT", "ISC", "BSL-1.0", "EUPL-1.2", "CC-BY-SA-4.0"):
+        assert labels(f"// SPDX-License-Identifier: {identifier}\nint x;") == [identifier.lower()]
+    assert labels("SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH x") == ["mit", "apache-2.0", "gpl-2.0"]
+    assert labels("License: MIT") == labels("Licensed under MIT.") == labels("license = 'MIT'") == ["mit"]
+    assert labels("License: MIT-0") == ["mit-0"]
+    assert labels("GPL, LGPL; AGPL") == ["gpl", "lgpl", "agpl"]
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    assert labels(grant) == ["mit"]
+    # A name ends where its word ends.
+    assert labels("released under the GPL 20 years ago") == ["gpl"]
+    assert labels("licensed under cc0ver, or under the apache-20 scheme; license: mitten, licensed under mit.example") == []
+    # Long expressions and long runs of tags are read in one pass.
+    assert len(scanner.detect("spdx-license-identifier: " + "zzz or " * 50_000 + "mit " + "spdx-license-identifier: q or " * 20_000)) == 1
     # Nothing that stays lies inside another of higher priority, as checked over all pairs.
     found = scanner.detect(("licensed under the mit license. cc by-nc-sa 4.0, gpl v2, lgpl 2.1 " * 20).lower())
     for a, b, _, s in found:
