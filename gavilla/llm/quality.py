@@ -27,7 +27,8 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 # What the base rule already judges (repeated windows) and what few, chance events move (repeated lines, digits) stays out.
 RATES = ["word_size", "symbol_rate", "symbol_words", "mark_rate", "bang_rate", "same_rate", "distinct_rate"]
-# Counts of few, chance events are set against this many words, so that short texts do not stand out.
+# Counts of few, chance events are set against this many words, so that short texts do not stand out. Sizes and counts a word
+# enter as logarithms, without an upper bound.
 CALM = 200
 SCHEMA = "struct<" + ", ".join([f"{c}: bigint" for c in BASE] + ["rates: array<float>"]) + ">"
 
@@ -73,11 +74,20 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     tagged = sum(map(bool, map(SYMBOL.search, words))) if base[2] else 0
     same = int((ids[1:] == ids[:-1]).sum()) if len(number) < n else 0
     return base, [
-        min(base[1] / n, 30.0), min(base[2] / n, 4.0), tagged / n, min(marks / n, 4.0), min(text.count("!") / n, 4.0),
-        same / (n + CALM), min(len(number), CALM) / min(n, CALM),
+        np.log1p(base[1] / n), np.log1p(base[2] / n), tagged / n, np.log1p(marks / n), np.log1p(text.count("!") / n),
+        same / (n + CALM), distinct_rate(len(number), n),
     ]
 
 
+def distinct_rate(distinct: int, n: int) -> float:
+    """Distinct words of a whole text against its words, beyond CALM words against the square root at which they would grow.
+
+    Ordinary text brings new words faster than that. More of them are no sign of anything, so the rate ends at 1 there; it
+    has no lower bound, and a long text of few words falls with its length.
+    """
+    return min(1.0, distinct / n if n <= CALM else distinct / (n * CALM) ** 0.5)
+
+
 def with_statistics(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
     """``docs`` with struct ``out`` of the base counts and rates; narrow, a few texts at a time."""
 
@@ -121,7 +131,8 @@ class Forest:
             stack = [(0, 0, rows[rng.choice(len(rows), self.sample, replace=False)])]
             while stack:
                 node, depth, part = stack.pop()
-                low, high = part.min(axis=0), part.max(axis=0)
+                # A side can be empty where rounding puts the split on the largest value.
+                low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (np.zeros(rows.shape[1]),) * 2
                 open_ = np.flatnonzero(high > low)
                 if depth == self.depth or len(part) < 2 or not len(open_):
                     self.path[t, node] = depth + _expected(len(part))

@@ -155,6 +155,28 @@ def test_quality_on_awkward_rows(spark):
     assert quality.verdicts(docs.limit(0), labels).count() == 0
 
 
+def test_long_texts_of_few_words_stand_out():
+    rate = lambda words: quality.statistics(" ".join(words))[1][-1]
+    rng = random.Random(4)
+    few = [f"w{i}" for i in range(210)]
+    assert rate(few) == 1
+    assert rate(rng.choices(few, k=20_000)) < 0.15
+    assert rate(rng.choices(few, k=200_000)) < rate(rng.choices(few, k=20_000)) < rate(rng.choices(few, k=2000)) < 0.4
+    assert rate([f"w{i}" for i in range(20_000)]) == 1
+    # Nor do very long words or very many marks end at a bound.
+    sizes = [quality.statistics("x" * n + " y")[1][0] for n in (10, 100, 1000, 100_000)]
+    marks = [quality.statistics("#" * n + " y")[1] for n in (10, 100, 1000, 100_000)]
+    assert sizes == sorted(set(sizes)) and all(a[i] < b[i] for a, b in zip(marks, marks[1:]) for i in (1, 3))
+
+
+def test_forest_with_values_a_rounding_apart():
+    """A split may round to the largest value and leave a side empty."""
+    low = np.float32(1.0)
+    rows = np.array([[low], [np.nextafter(low, np.float32(2))]] * 50, dtype=np.float32)
+    scores = quality.Forest(rows, trees=200).score(rows)
+    assert np.isfinite(scores).all()
+
+
 # -- licences -----------------------------------------------------------------------------------------
 
 
