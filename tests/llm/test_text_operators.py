@@ -1,6 +1,7 @@
 """Quality, tokens, licences and toxicity against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -312,6 +313,45 @@ def test_toxicity_held_out(spark):
     assert np.allclose(again[found.doc_id], found.score)
 
 
+def plain_ftrl(rows, passes=2, alpha=2.0, beta=1.0, l1=3.0, l2=1.0):
+    """Weights by slot, one coordinate at a time; slot 0 is the intercept, free of L1."""
+    z, n = {}, {}
+
+    def weight(i):
+        at = z.get(i, 0.0)
+        if i and abs(at) <= l1:
+            return 0.0
+        shrunk = at - (l1 if at > 0 else -l1) if i else at
+        return -shrunk / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(passes):
+        for features, label in rows:
+            now = {i: weight(i) for i in {0, *features}}
+            error = 1 / (1 + math.exp(-sum(now.values()))) - label
+            for i, w in now.items():
+                rate = ((n.get(i, 0.0) + error**2) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + error - rate * w
+                n[i] = n.get(i, 0.0) + error**2
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_toxicity_weights_equal_plain_ftrl(spark):
+    """The learned weights against those of a learner that goes coordinate by coordinate."""
+    from pyspark.sql import functions as F
+
+    docs, labels = toxic_frame(spark, 300)
+    found = {r.slot: r.weight for r in toxicity.fit(docs, labels).collect()}
+    spot = F.xxhash64("doc_id", F.lit("order"))
+    known = docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    rows = sorted(known.select(spot.alias("spot"), F.pmod(spot, F.lit(2)).alias("shard"), "toxic", "text").collect())
+    hashes = toxicity.Words()
+    slots = lambda text: set(toxicity.slots(text, hashes).tolist())
+    models = [plain_ftrl([(slots(r.text), r.toxic) for r in rows if r.shard == shard]) for shard in (0, 1)]
+    wanted = {i: sum(m.get(i, 0.0) for m in models) / 2 for i in {*models[0], *models[1]}}
+    assert set(found) == set(wanted) and len(wanted) > 5
+    assert all(abs(found[i] - wanted[i]) < 1e-6 for i in wanted)
+
+
 def test_toxicity_on_awkward_rows(spark):
     docs = documents(spark)
     _, labels = toxic_frame(spark, 20)
