@@ -2,6 +2,7 @@ import glob
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,20 @@ def test_projection_matches_a_dense_decomposition(spark, sf):
     assert np.abs(vectors @ vectors.T - full @ full.T).max() < 0.05
 
 
+def test_sparse_products_with_dense_and_rare_terms():
+    rng = np.random.RandomState(3)
+    dense = rng.normal(size=(3 * TF.RUN // 2, 700)) * (rng.rand(3 * TF.RUN // 2, 700) < np.r_[np.full(100, 0.3), np.full(600, 0.001)])
+    dense[5] = 0  # a row without terms
+    cells = [np.flatnonzero(row) for row in dense]
+    batch = pa.RecordBatch.from_arrays([pa.array(cells, pa.list_(pa.int64())), pa.array([row[c] for row, c in zip(dense, cells)], pa.list_(pa.float64()))], names=["term_ids", "weights"])
+    right, total = rng.normal(size=(700, 6)), np.zeros((700, 6))
+    assert np.allclose(TF._times(batch, right), dense @ right)
+    for dealt in TF._dealt(batch, 700, np.float64):
+        assert 100 <= len(dealt[2]) < 200  # the frequent terms are one matrix
+        TF._add_back(dealt, TF._forward(dealt, right), total)
+    assert np.allclose(total, dense.T @ (dense @ right))
+
+
 def test_both_methods_end_to_end(spark, sf, tmp_path):
     df = catalog.turns(spark, sf)
     config = R.Config(min_cluster_size=4, encoder=catalog.letter_encoder, encoder_id="letters")
