@@ -135,3 +135,29 @@ def test_large_single_line_csv_uses_many_partitions(spark, tmp_path, request):
     sizes = [r["count"] for r in loaded.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) >= 4 and max(sizes) < 20_000
     assert [r["comentario"] for r in loaded.orderBy("id").limit(3).collect()] == [f"text number {i}" for i in range(3)]
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+
+def test_written_tables_and_passes_of_the_projection_leave_no_shuffle_files(spark):
+    import time
+
+    import numpy as np
+
+    from gavilla.operators import tfidf as TF
+    from gavilla.session import CLEANUP_KEY, materialise
+
+    rows = spark.range(40).selectExpr("id", "array(id % 3, 3L) AS term_ids", "array(0.6D, 0.8D) AS weights").repartition(3, "id")
+    had, before = spark.conf.get(CLEANUP_KEY, None), shuffle_files(spark)
+    assert materialise(rows).count() == 40
+    assert TF._gram_times(rows, np.eye(4)).round(5)[3, 3] == 25.6
+    left = lambda: {f for f in shuffle_files(spark) - before if f.endswith(".data")}
+    until = time.time() + 20
+    while len(left()) > 2 and time.time() < until:
+        time.sleep(0.2)
+    # The count of the written table has a shuffle of its own.
+    assert len({f.split("_")[1] for f in left()}) <= 1
+    assert spark.conf.get(CLEANUP_KEY, None) == had
