@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gavilla.functions import text as T
@@ -74,3 +75,37 @@ def test_csv_keeps_quotes_breaks_and_order(spark, tmp_path):
     assert files.read_csv_texts(spark, str(path)).count() == 5
     loaded = P.load_and_clean(files.read_csv_texts(spark, str(path)), files.POSITION).orderBy("id").collect()
     assert [(r["id"], r["comentario_clean"]) for r in loaded] == [(0, 'a, "b"'), (1, "two lines"), (2, "na"), (3, "pad")]
+
+
+def test_terms_are_counted_by_id_whatever_a_task_reads_at_once(spark, monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from gavilla.operators import tfidf as TF
+
+    rng = np.random.RandomState(2)
+    letters = list("ab  \u00e9\U0001d11ez\u2028\n")
+    texts = ["".join(rng.choice(letters, rng.choice([0, 1, 4, 30]))) for _ in range(40)] + [None, None, "ab  ab", " "]
+    # Ids repeat and are null, and one has a third of the rows.
+    ids = [None if i % 9 == 0 else 5 if i % 3 == 0 else i // 2 for i in range(len(texts))]
+    wanted = Counter()
+    for i, text in zip(ids, texts):
+        for n in (3, 4, 5) if text is not None else ():
+            wanted.update((i, m) for m in re.findall(f"(?=([^\n\r\x85\u2028\u2029][^ ]{{{n - 2}}}[^\n\r\x85\u2028\u2029])).", f" {text} "))
+    df = spark.createDataFrame(list(zip(ids, texts)), "id bigint, comentario_clean string")
+    found = TF.term_counts(df).collect()
+    assert len(found) == len(wanted) and {(r["id"], r["term"]): r["tf"] for r in found} == wanted
+    # In pieces of a few bytes, an id goes on from one to the next.
+    order = sorted(range(len(ids)), key=lambda j: (ids[j] is not None, ids[j] or 0))
+    batch = pa.RecordBatch.from_arrays([pa.array([ids[j] for j in order], pa.int64()), pa.array([texts[j] for j in order])], names=["id", "text"])
+    called, given = [], TF._grams_of_words
+    monkeypatch.setattr(TF, "_grams_of_words", lambda words: called.append(len(words)) or given(words))
+    for chunk in (1, 50, 1 << 21):
+        monkeypatch.setattr(TF, "CHUNK", chunk)
+        pieces = [row for part in TF._count_terms([batch.slice(0, 7), batch.slice(7)]) for row in part.to_pylist()]
+        assert len(pieces) == len(wanted) and {(r["id"], r["term"]): r["tf"] for r in pieces} == wanted
+    # A word that comes again is cut into grams once for a piece.
+    called.clear()
+    many = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["word " * 500, "word other " * 500])], names=["id", "text"])
+    assert sum(part.num_rows for part in TF._count_terms([many])) == 9 + 21 and called == [3]
